@@ -4,8 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import mojibake
-from chronofold.util import table
+from chronofold.llm import mixing, mojibake, packing, tokens
+from chronofold.util import checkpointed, table
+
+
+def _sizes(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    # Checkpointed: the sizes are used several times, and tokenizing is the dear part.
+    return checkpointed(tokens.token_sizes(table(spark, d, "documents"), list(keep)))
+
+
+def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
+    return {r["container"]: r["capacity_tokens"] for r in table(spark, d, "capacities").collect()}
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_sizes(spark, d, "doc_id"), _capacities(spark, d))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_packed(spark, d), _capacities(spark, d))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, d, "doc_id", "source"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, d, "doc_id", "source"), table(spark, d, "mix_targets"))[1]
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -16,5 +41,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(table(spark, d, "documents")).where("garbled")
 
 
-QUERIES = {"p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p7_packed": p7_packed, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_restored": p9_restored}
 SQL: dict[str, str] = {}
