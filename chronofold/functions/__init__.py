@@ -1 +1 @@
-
+"""Calculators, their settings and their names."""

@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window, WindowSpec
 
 from chronofold.functions import kernels
@@ -39,8 +40,13 @@ class Build:
         self.aggs: dict[str, Column] = {}
         self.v = F.col(V)
 
-    ordered: WindowSpec = Window.partitionBy(*KEYS).orderBy(S)
-    whole: WindowSpec = Window.partitionBy(*KEYS)
+    @property
+    def ordered(self) -> WindowSpec:
+        return Window.partitionBy(*KEYS).orderBy(S)
+
+    @property
+    def whole(self) -> WindowSpec:
+        return Window.partitionBy(*KEYS)
 
     def row(self, level: int, name: str, make: Callable[[], Column]) -> Column:
         name = _plain(name)
@@ -473,7 +479,7 @@ def mean_n_absolute_max(b, number_of_maxima):
 # --- trends -----------------------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _two_sided(r: pd.Series, n: pd.Series) -> pd.Series:
     out = []
     for a, k in zip(r, n):

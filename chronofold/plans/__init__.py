@@ -1 +1 @@
-
+"""Engine parts: containers, extraction and pipelines."""

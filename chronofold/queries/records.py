@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.operators import hotkeys, lowrank, regrid, spikes, trailing, widen
+from chronofold.queries.features import SHIFT
+from chronofold.queries.records_sql import SQL  # noqa: F401
 from chronofold.util import table
 
 PAIR = ["id", "kind"]
@@ -26,7 +28,7 @@ def p1_profile(spark: SparkSession, d: str) -> DataFrame:
 def p2_trailing(spark: SparkSession, d: str) -> DataFrame:
     got = trailing.trailing_totals(table(spark, d, "df_melted"), "symbols", "date", "high", (7, 30), value_type=TWO)
     return got.select(
-        "symbols", day_text("day").alias("day"), F.col("total_7").cast("double").alias("total_7"), F.round("average_7", 4).alias("average_7"), F.col("total_30").cast("double").alias("total_30"), F.round("average_30", 4).alias("average_30")
+        "symbols", day_text("day").alias("day"), F.col("total_7").cast("double").alias("total_7"), F.round(F.col("average_7") + SHIFT, 4).alias("average_7"), F.col("total_30").cast("double").alias("total_30"), F.round(F.col("average_30") + SHIFT, 4).alias("average_30")
     )
 
 
@@ -68,8 +70,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_grid(spark: SparkSession, d: str) -> DataFrame:
-    return regrid.regular_grid(table(spark, d, "sensor_readings"), table(spark, d, "sensors"))
+    got = regrid.regular_grid(table(spark, d, "sensor_readings"), table(spark, d, "sensors"))
+    return got.select(*[F.round(F.col(c) + SHIFT, 4).alias(c) if c in ("value", "support") else F.col(c) for c in got.columns])
 
 
 QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p2_found": p2_found, "p2_trailing": p2_trailing, "p3_found": p3_found, "p3_wide": p3_wide, "p4_found": p4_found, "p4_filled": p4_filled, "p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid}
-SQL: dict[str, str] = {}

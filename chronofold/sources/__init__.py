@@ -1 +1 @@
-
+"""Sources and sinks beyond the ones Spark has."""

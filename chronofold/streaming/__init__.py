@@ -1 +1 @@
-
+"""Features of series that arrive as streams."""
