@@ -16,8 +16,8 @@ from chronofold.util import checkpointed, micros
 NUMBER_STAND_INS = (-9999.0, -999.0, -99999.0, -999999.0, 1e30, -1e30, 1e20, -1e20, 9.969209968386869e36, 3.4028234663852886e38, -3.4028234663852886e38, 1.7976931348623157e308, -1.7976931348623157e308)
 TEXT_STAND_INS = ("", "-", "--", "---", "?", "??", ".", "n/a", "#n/a", "na", "n.a.", "nan", "null", "(null)", "nil", "none", "unknown", "missing", "undefined", "unspecified", "not available", "tbd")
 
-#: Rank, passes, ridge on the factors, and how many records' worth of weight a wider mean has against a group's own.
-RANK, PASSES, RIDGE, SHRINK = 3, 6, 1.0, 0.5
+#: Rank, passes, ridge (as a multiple of what noise explains: 1 cuts it off), and how many records' worth of weight a wider mean has against a group's own.
+RANK, PASSES, RIDGE, SHRINK = 3, 8, 0.8, 0.5
 #: A text column is a category: more distinct values than this are refused, as every one becomes a column of cells.
 MOST_CATEGORIES = 256
 
@@ -51,27 +51,28 @@ def fit_factors(cells: DataFrame, p: int, rank: int, passes: int, ridge: float,
     """Feature factors (p x rank) by alternating least squares over all records.
 
     A record's factor depends on its own cells and the feature factors only, so a pass solves it where the record lies and adds
-    it to the normal equations of the features: p * rank * (rank + 1) sums per task, whatever the number of records.
+    it to the normal equations of the features: p * (rank * (rank + 1) + 1) sums per task, whatever the number of records.
     """
     k = rank
     v = np.random.default_rng(seed).normal(0, 0.5, (p, k))
     for _ in range(passes):
 
         def sums(batches: Iterator[pa.RecordBatch], v: np.ndarray = v) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(p * k * (k + 1))
+            total = np.zeros(p * k * (k + 1) + p)
             for b in batches:
                 x, m = _cells(b, p)
                 u = _solve(v, x, m, ridge)
                 outer = (u[:, :, None] * u[:, None, :]).reshape(len(u), k * k)
-                total += np.concatenate([(m.T @ outer).ravel(), ((x * m).T @ u).ravel()])
+                total += np.concatenate([(m.T @ outer).ravel(), ((x * m).T @ u).ravel(), m.sum(axis=0)])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "s"])
 
         rows = cells.select("cells").mapInArrow(sums, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()
         if not rows:
             return v
         flat = np.array([r["s"] for r in rows])
-        a, b = flat[: p * k * k].reshape(p, k, k), flat[p * k * k :].reshape(p, k)
-        v = np.linalg.solve(a + ridge * np.eye(k), b[:, :, None])[:, :, 0]
+        a, b, n = flat[: p * k * k].reshape(p, k, k), flat[p * k * k : -p].reshape(p, k), flat[-p:]
+        # The penalty of a column grows with its cells, so that both sides together cut off what noise alone would explain.
+        v = np.linalg.solve(a + ridge * np.maximum(n, 1.0)[:, None, None] * np.eye(k), b[:, :, None])[:, :, 0]
     return v
 
 
@@ -93,8 +94,8 @@ def fill_from_similar(
     Rows that differ in ``arrived`` only are repeats of one record and give one row (the earliest). A cell is missing if it is NULL, not
     finite, blank, or a stand-in (see the fixed values above); zero is a value.
 
-    Cells are encoded as numbers relative to a base: a numeric cell as its standardised distance from the mean of its group, a text column
-    as one indicator per category, relative to the category's share in the group. Group means lean on the mean of the same day
+    Cells are encoded as numbers relative to a base: a numeric cell as its distance from the mean of its group, a text column
+    as one indicator per category, relative to the category's share in the group, both over their spread. Group means lean on the mean of the same day
     (``time``, UTC) where the group has few values, and stand on it where it has none; days without values, and rows without a time, use
     the whole table. Alternating least squares then explains what is left by ``rank`` factors per record and per encoded column,
     from all observed cells. A missing numeric cell is decoded to base + fit, kept within the range its scope holds; a missing text cell to the
@@ -136,22 +137,23 @@ def fill_from_similar(
     by_group = checkpointed(stats(["g"], "g").where("g is not null"))
     by_day = checkpointed(stats(["d"], "d").where("d is not null"))
     whole = stats([], "a")
-    spread = base.agg(*[F.stddev_pop(f"n{i}").alias(f"s_n{i}") for i in range(len(numbers))]).collect()[0].asDict() if numbers else {}
     everything = whole.collect()[0].asDict()
     rows = salted_join(base, by_group, ["g"], "grows", ["k"])
     rows = salted_join(rows, by_day, ["d"], "drows", ["k"])
 
     # The base of each encoded column, its scale, and the encoded residual cells (NaN where missing).
-    cells, bases, scales = [], [], []
+    cells, bases = [], []
     for n, e in encoded:
-        scale = float(spread.get(f"s_{n}") or 1.0) if n in clean else 1.0
         top = F.lit(everything[f"am_{n}"]).cast("double")
         day = F.when(F.coalesce(F.col(f"dc_{n}"), F.lit(0)) > 0, F.col(f"dm_{n}")).otherwise(top)
         count = F.coalesce(F.col(f"gc_{n}"), F.lit(0))
         b = F.when(count > 0, (F.col(f"gm_{n}") * count + day * SHRINK) / (count + SHRINK)).otherwise(day)
         bases.append(b)
-        scales.append(scale)
-        cells.append(F.coalesce((e - b) / scale, F.lit(float("nan"))))
+        cells.append((e - b).alias(f"x_{n}"))
+    # Every encoded column is scaled by its spread around its base, so that no column outweighs the others in the fit.
+    rest = rows.select(*cells).agg(*[F.sqrt(F.avg(F.col(f"x_{n}") * F.col(f"x_{n}"))).alias(n) for n in names]).collect()[0].asDict()
+    scales = [float(rest[n] or 1.0) or 1.0 for n in names]
+    cells = [F.coalesce((e - b) / s, F.lit(float("nan"))) for (_, e), b, s in zip(encoded, bases, scales)]
     rows = checkpointed(rows.select("row", "g", "d", *clean, F.array(*cells).alias("cells"), F.array(*bases).alias("bases"), *[f"{x}c_{n}" for x in "gd" for n in names], *[f"{x}{e}_n{i}" for x in "gd" for e in ("lo", "hi") for i in range(len(numbers))]))
     v = fit_factors(rows, p, rank, passes, ridge)
 
@@ -192,7 +194,7 @@ def fill_from_similar(
         first = f"{n}_0"  # all indicators of a text column are present together
         in_group = F.coalesce(F.col(f"gc_{first}"), F.lit(0)) > 0
         in_day = F.coalesce(F.col(f"dc_{first}"), F.lit(0)) > 0
-        best = F.greatest(*[F.struct((F.col("bases")[a] + F.col("fit")[a]).alias("s"), F.lit(-j).alias("j")) for j, a in enumerate(at)]) if len(at) > 1 else F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("j"))
+        best = F.greatest(*[F.struct((F.col("bases")[a] + F.col("fit")[a] * scales[a]).alias("s"), F.lit(-j).alias("j")) for j, a in enumerate(at)]) if len(at) > 1 else F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("j"))
         guess = F.element_at(F.array(*[F.lit(x) for x in cats]), (1 - best["j"]).cast("int"))
         out[c] = F.coalesce(F.col(n), guess)
         scope[c] = F.when(F.col(n).isNull(), F.when(in_group, "group").when(in_day, "day").otherwise("all"))

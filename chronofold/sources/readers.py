@@ -7,27 +7,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _strip(text):
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def read_headerless(spark: SparkSession, path: str) -> DataFrame:
     """Each line of numbers is one series: (id, time, value), ids by line in file order, times from 0."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    parts = F.posexplode(F.split(F.trim("value"), r"\s+"))
+    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where(_strip("value") != "")
+    parts = F.posexplode(F.split(_strip("value"), r"\s+"))
     return lines.select(F.col("line").alias("id"), parts.alias("time", "text")).select("id", F.col("time").cast("long").alias("time"), F.col("text").try_cast("double").alias("value"))
 
 
 def read_with_header(spark: SparkSession, path: str, id_columns: tuple[str, ...] = ("id",)) -> DataFrame:
     """White-space separated columns under one header line; numbers, but for the ``id_columns``."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).where(_strip("value") != "")
     header = lines.first()["value"]
     names = header.split()
-    parts = F.split(F.trim("value"), r"\s+")
+    parts = F.split(_strip("value"), r"\s+")
     cols = [parts[i].alias(n) if n in id_columns else parts[i].try_cast("double").alias(n) for i, n in enumerate(names)]
     return lines.where(F.col("value") != header).select(*cols)
 
 
 def read_wide_matrix(spark: SparkSession, path: str) -> DataFrame:
     """White-space separated numbers, one series of fixed length per line: (id, values)."""
-    lines = spark.read.text(path).withColumn("id", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    return lines.select("id", F.transform(F.split(F.trim("value"), r"\s+"), lambda t: t.try_cast("double")).alias("values"))
+    lines = spark.read.text(path).withColumn("id", F.monotonically_increasing_id()).where(_strip("value") != "")
+    return lines.select("id", F.transform(F.split(_strip("value"), r"\s+"), lambda t: t.try_cast("double")).alias("values"))
 
 
 def read_blocks(spark: SparkSession, path: str, names: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
@@ -35,11 +39,11 @@ def read_blocks(spark: SparkSession, path: str, names: tuple[str, ...]) -> tuple
 
     A block is read as one record, so files are split between blocks only.
     """
-    blocks = spark.read.option("lineSep", "\n\n").text(path).withColumn("block", F.regexp_replace("value", r"^\s+|\s+$", "")).where("block <> ''")
+    blocks = spark.read.option("lineSep", "\n\n").text(path).withColumn("block", _strip("value")).where("block <> ''")
     blocks = blocks.select(F.monotonically_increasing_id().alias("id"), F.split("block", "\n").alias("lines"))
-    labels = blocks.select("id", F.trim(F.element_at("lines", 1)).alias("label"))
+    labels = blocks.select("id", _strip(F.element_at("lines", 1)).alias("label"))
     rows = blocks.select("id", F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("time", "line"))
-    parts = F.split(F.trim("line"), r"\s+")
+    parts = F.split(_strip("line"), r"\s+")
     return rows.select("id", F.col("time").cast("long").alias("time"), *[parts[i].try_cast("double").alias(n) for i, n in enumerate(names)]), labels
 
 
