@@ -178,7 +178,8 @@ def calculate_relevance_table(
         raise ValueError("the test must be mann or smir")
     if ml_task == "auto":
         ml_task = infer_ml_task(y)
-    features = X if X.columns == ["id", "variable", "value"] else melt(X)
+    # Used several times below, and small beside the series it was extracted from.
+    features = checkpointed(X if X.columns == ["id", "variable", "value"] else melt(X))
     kinds = checkpointed(feature_types(features))
     of = lambda t: features.join(F.broadcast(kinds.where(F.col("type") == t).select("variable")), "variable", "left_semi")
     if ml_task == "regression":
