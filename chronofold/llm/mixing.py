@@ -165,7 +165,8 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", source: str =
             yield pa.RecordBatch.from_arrays([c["shard"], pa.array(position), c["_source"], pa.array(index), pa.array(turn.astype(np.int32))], ["shard", "position", "_source", "block", "pass"])
 
     drawn = draw.mapInArrow(mapped, "shard int, position long, _source string, block long, pass int")
-    mixed = drawn.join(parts, ["_source", "block"]).select("shard", "position", F.col("_source").alias("source"), "block", "pass", F.col("_key").alias(key), "first_token", "n_tokens")
+    # Both sides grow with the corpus, though the planner takes the draws, which come from a short list, for small.
+    mixed = drawn.hint("merge").join(parts.hint("merge"), ["_source", "block"]).select("shard", "position", F.col("_source").alias("source"), "block", "pass", F.col("_key").alias(key), "first_token", "n_tokens")
 
     uses = mixed.groupBy("source", "block").agg(F.sum("n_tokens").alias("t"), F.countDistinct("pass").alias("u"))
     reached = uses.groupBy("source").agg(F.sum("t").alias("drawn_tokens"), F.max("u").alias("most_uses"))
