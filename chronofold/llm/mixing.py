@@ -50,16 +50,12 @@ def token_quotas(available: dict[str, int], shares: dict[str, float], repeats: d
     return quota
 
 
-def slot_quotas(tokens: dict[str, float], blocks: dict[str, int], repeats: dict[str, int], block: int) -> dict[str, int]:
-    """Blocks each source gives: its tokens over the block length, rounded by largest remainder, within its limit."""
-    exact = {s: t / block for s, t in tokens.items()}
-    limit = {s: blocks.get(s, 0) * max(0, repeats[s]) for s in tokens}
-    out = {s: min(limit[s], int(x)) for s, x in exact.items()}
-    missing = round(sum(exact.values())) - sum(out.values())
-    for s in sorted(exact, key=lambda s: (out[s] - exact[s], s)):
-        if missing > 0 and out[s] < limit[s]:
-            out[s] += 1
-            missing -= 1
+def slot_quotas(tokens: dict[str, float], available: dict[str, int], repeats: dict[str, int], block: int) -> dict[str, int]:
+    """Blocks each source gives: its tokens over the mean length of its blocks (the last is short), to the nearest, within its limit."""
+    out = {}
+    for s, t in tokens.items():
+        n = -(-available.get(s, 0) // block)
+        out[s] = min(n * max(0, repeats[s]), round(t * n / available[s])) if n else 0
     return out
 
 
@@ -123,7 +119,7 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", source: str =
     wanted = list(shares)
     available = {r["_source"]: r["available_tokens"] for r in of_source.where(F.col("_source").isin(wanted) if wanted else F.lit(False)).collect()}
     blocks = {s: -(-n // block) for s, n in available.items()}
-    quota = slot_quotas(token_quotas(available, shares, repeats, total), blocks, repeats, block)
+    quota = slot_quotas(token_quotas(available, shares, repeats, total), available, repeats, block)
     slots = sum(quota.values())
     shards = max(SHARDS, -(-slots // SHARD_BLOCKS))
 
