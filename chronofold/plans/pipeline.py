@@ -136,9 +136,9 @@ class FeatureSelector:
 class RelevantFeatureAugmenter:
     """Fit: extract all features and select. Transform: extract only the selected ones, impute them as in training, and join."""
 
-    def __init__(self, filter_only_tsfeatures: bool = True, default_fc_parameters: Mapping | None = None, kind_to_fc_parameters: Mapping | None = None, column_id: str = "id", column_sort: str | list[str] | None = None, column_kind: str | None = None, column_value: str | None = None, column_time: str | None = None, timeseries_container: Container | None = None, **selection: object) -> None:
+    def __init__(self, filter_only_extracted: bool = True, default_fc_parameters: Mapping | None = None, kind_to_fc_parameters: Mapping | None = None, column_id: str = "id", column_sort: str | list[str] | None = None, column_kind: str | None = None, column_value: str | None = None, column_time: str | None = None, timeseries_container: Container | None = None, **selection: object) -> None:
         self.augmenter = FeatureAugmenter(default_fc_parameters, kind_to_fc_parameters, column_id, column_sort, column_kind, column_value, column_time, timeseries_container)
-        self.filter_only_tsfeatures = filter_only_tsfeatures
+        self.filter_only_extracted = filter_only_extracted
         self.selector = FeatureSelector(**selection)
         self.features: list[str] | None = None
         self.columns: list[str] = []
@@ -156,11 +156,11 @@ class RelevantFeatureAugmenter:
         matrix = extract_features(rows, *self.augmenter.settings, **columns)
         ranges = imp.get_range_values_per_column(matrix)
         matrix = imp.impute_dataframe_range(matrix, *ranges)
-        pool = matrix if self.filter_only_tsfeatures else X.join(matrix, "id", "left")
+        pool = matrix if self.filter_only_extracted else X.join(matrix, "id", "left")
         self.selector.fit(pool, y)
         extracted = set(matrix.columns) - {"id"}
         self.features = [c for c in self.selector.relevant_features if c in extracted]
-        self.columns = [c for c in X.columns if c != "id" and (self.filter_only_tsfeatures or c in self.selector.relevant_features)]
+        self.columns = [c for c in X.columns if c != "id" and (self.filter_only_extracted or c in self.selector.relevant_features)]
         self.ranges = tuple({c: r[c] for c in self.features} for r in ranges)
         return self
 
