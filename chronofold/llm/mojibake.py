@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -230,25 +231,39 @@ AGAINST = 6.0
 ANY_UTF8 = "utf-8"
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of clean records with how often they occur, in bounded batches."""
-    seen: Counter[str] = Counter()
+def _words_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Clean records as a hash of the text with its words, in bounded batches."""
+    seen: dict[int, str] = {}
+    size = 0
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.string())], ["page", "words"])
         seen.clear()
         return out
 
     for b in batches:
         for text in b.column(0).to_pylist():
             if text and not (text.isascii() and "&#" not in text) and not _CONTROL.search(text):
-                seen.update(words(text))
-        if len(seen) > 200_000:
-            yield flush()
+                key = int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                if key not in seen:
+                    seen[key] = " ".join(words(text))
+                    size += len(seen[key])
+                if size > 2_000_000:
+                    yield flush()
+                    size = 0
     if seen:
         yield flush()
 
 
+def counted(documents: DataFrame, text: str = "text") -> DataFrame:
+    """Distinct words of the clean records with how often they occur in distinct texts: a page that is repeated counts once.
+
+    Lines that many texts share (menus, notices) count in each: they tell how these words are usually written.
+    """
+    pages = documents.select(F.col(text).cast("string")).mapInArrow(_words_of_texts, "page long, words string").distinct()
+    return pages.select(F.explode(F.split("words", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _bigram_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, singles = np.zeros(2**BITS, np.int64), np.zeros(65536, np.int64)
     for b in batches:
@@ -353,11 +368,11 @@ class Reader:
 def train(documents: DataFrame, text: str = "text") -> tuple[Model, float]:
     """The character model of the corpus and the margin, over all records.
 
-    1. Distinct words of the clean records with their counts (a table, checkpointed). 2. A first model over all of them. 3. Words with a likelier
+    1. Distinct words of the clean records with their counts over distinct texts (a table, checkpointed). 2. A first model over all of them. 3. Words with a likelier
     reading that is more frequent in the corpus, or far likelier, are left out, and the model is fitted again. 4. The margin is validated on
     at most about HELD_OUT of the kept words, taken out of the counts.
     """
-    found = checkpointed(documents.select(F.col(text).cast("string")).mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    found = checkpointed(counted(documents, text))
     sc = documents.sparkSession.sparkContext
     first = sc.broadcast(Model(*fit_counts(found)))
 

@@ -2,6 +2,7 @@
 
 import bisect
 import random
+import re
 
 import numpy as np
 import pytest
@@ -182,6 +183,16 @@ def test_broken_texts_are_found_and_restored(spark):
     assert mojibake.restore(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", BREAKS)
+def test_a_garbled_page_repeated_often_is_found(spark, kind):
+    clean = corpus(150, 5)
+    page = re.sub("[–“”°]", "", clean[1 if "cp1251" in kind else 0])
+    rows = [(i, t) for i, t in enumerate(clean)] + [(1000 + k, BREAKS[kind](page)) for k in range(75)]
+    got = {r["doc_id"]: r for r in mojibake.restore(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k, r in got.items() if r["garbled"]} == set(range(1000, 1075))
+    assert all(got[1000 + k]["restored"] == page for k in range(75))
+
+
 def test_model_needs_nothing_to_score():
     model = mojibake.Model(np.zeros(2**mojibake.BITS, np.int64), np.zeros(65536, np.int64))
     assert np.isfinite(model.score(["für"])[0]).all() and isinstance(model.readings(["fÃ¼r"]), dict)
