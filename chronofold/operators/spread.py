@@ -23,14 +23,20 @@ def halo_chunks(df: DataFrame, key: str, order: Sequence[str], halo: int, chunk:
     third of all rows is spread over a third of the partitions. Each row is core in exactly one chunk.
     """
     n = partitions or shuffle_partitions(df.sparkSession)
-    # Checkpointed, as the chunk numbers must not change when a lost task is run again.
-    cut = checkpointed(df.repartitionByRange(n, key, *order).withColumn(chunk, F.spark_partition_id()))
+    ring = Window.partitionBy(key).orderBy(chunk)
+    while True:
+        # Checkpointed, as the chunk numbers must not change when a lost task is run again.
+        cut = checkpointed(df.repartitionByRange(n, key, *order).withColumn(chunk, F.spark_partition_id()))
+        of_key = cut.groupBy(key, chunk).agg(F.count(F.lit(1)).alias("_rows"))
+        of_key = of_key.select(key, chunk, "_rows", F.lead(chunk).over(ring).alias("_next"), F.lag(chunk).over(ring).alias("_prev"))
+        # A chunk between two others of its key must fill their halos; where tables are small, fewer ranges are cut.
+        if n == 1 or of_key.where((F.col("_rows") < halo) & F.col("_next").isNotNull() & F.col("_prev").isNotNull()).isEmpty():
+            break
+        n = max(1, n // 4)
+    of_key = of_key.drop("_rows")
     fwd = Window.partitionBy(key, chunk).orderBy(*[F.col(c) for c in order])
     back = Window.partitionBy(key, chunk).orderBy(*[F.col(c).desc() for c in order])
     # Only chunks with a neighbour of the same key need halos.
-    of_key = cut.groupBy(key, chunk).agg(F.count(F.lit(1)).alias("_rows"))
-    ring = Window.partitionBy(key).orderBy(chunk)
-    of_key = of_key.select(key, chunk, F.lead(chunk).over(ring).alias("_next"), F.lag(chunk).over(ring).alias("_prev"))
     torn = of_key.where("_next is not null or _prev is not null")
     # At most two torn (key, chunk) pairs per cut: bounded by the number of partitions.
     edge = cut.join(F.broadcast(torn), [key, chunk])

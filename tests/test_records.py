@@ -240,6 +240,39 @@ def test_spikes_stuck_runs_and_limits(spark):
     assert spikes.flag_readings(df.limit(0), sensors).count() == 0
 
 
+def test_candidates_are_few_and_hold_every_case(spark):
+    rows, spiked, stuck, _ = _readings(spark)
+    df = spark.createDataFrame(rows, "reading_id long, id long, time timestamp, value double, _v string")
+    sensors = spark.createDataFrame([(0, -1e4, 1e4), (1, -1e4, 1e4), (2, None, None)], "id long, lo double, hi double")
+    got = spikes.flag_readings(df, sensors).collect()
+    chosen = {r["reading_id"] for r in got if r["candidate"]}
+    assert spiked | stuck <= chosen and len(chosen) < 0.25 * len(got)
+    # The threshold is the source's own.
+    assert len({(r["id"], r["threshold"]) for r in got}) == 4 == len({r["threshold"] for r in got})
+
+
+def test_slices_of_a_hot_source_grow_the_same_forest(spark, monkeypatch):
+    rows, _, _, _ = _readings(spark)
+    df = spark.createDataFrame(rows, "reading_id long, id long, time timestamp, value double, _v string")
+    sensors = spark.createDataFrame([(0, -1e4, 1e4), (1, -1e4, 1e4), (2, None, None)], "id long, lo double, hi double")
+    whole = {r["reading_id"]: tuple(r) for r in spikes.flag_readings(df, sensors).collect()}
+    monkeypatch.setattr(spikes, "SLICE", 64)
+    sliced = spikes.flag_readings(df, sensors).collect()
+    assert {r["reading_id"]: tuple(r) for r in sliced} == whole and len(sliced) == len(whole)
+
+
+def test_many_ranges_still_give_full_halos(spark):
+    df = spark.createDataFrame([(1, i) for i in range(60)], "k int, i long")
+    got = spread.halo_chunks(df, "k", ["i"], 12, partitions=40).collect()
+    of = {}
+    for r in got:
+        of.setdefault(r["chunk"], []).append((r["i"], r["is_core"]))
+    for members in of.values():
+        here = {i for i, _ in members}
+        for i in (i for i, core in members if core):
+            assert {j for j in range(i - 12, i + 13) if 0 <= j < 60} <= here
+
+
 def test_forest_scores_outliers_high():
     import numpy as np
 
