@@ -31,6 +31,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """A frame whose rows cost far more than moving them, spread over all cores if it has fewer partitions than that.
+
+    Large inputs have more partitions than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def usable(value: Column) -> Column:
     """True where a double is a value: neither NULL nor NaN."""
     return value.isNotNull() & ~F.isnan(value)
