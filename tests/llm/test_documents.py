@@ -195,4 +195,45 @@ def test_a_garbled_page_repeated_often_is_found(spark, kind):
 
 def test_model_needs_nothing_to_score():
     model = mojibake.Model(np.zeros(2**mojibake.BITS, np.int64), np.zeros(65536, np.int64))
-    assert np.isfinite(model.score(["für"])[0]).all() and isinstance(model.readings(["fÃ¼r"]), dict)
+    assert np.isfinite(model.score(["für"])).all() and model.readings(["fÃ¼r"]) == [{}] and model.score([]).size == 0
+
+
+@pytest.mark.parametrize(
+    "right, wrong",
+    [
+        ("датчик", "датчик".encode("koi8-r").decode("cp866")),
+        ("データ", "データ".encode("euc_jp").decode("koi8-r")),
+        ("データ", "データ".encode("shift_jis").decode("cp437")),
+        ("データ", "データ".encode().decode("shift_jis", "replace")),
+        ("тест", "тест".encode("cp1251").decode("shift_jis", "replace")),
+        ("датчик", "датчик".encode("cp1251").decode("koi8-r").encode().decode("latin-1")),
+        ("データ", "データ".encode("euc_jp").decode("latin-1").encode().decode("cp437")),
+        ("größer", "größer".encode().decode("cp1252").encode().decode("mac_roman").encode().decode("latin-1")),
+    ],
+)
+def test_chains_are_tried(right, wrong):
+    if "\ufffd" in wrong:
+        pytest.skip("characters are lost in this chain")
+    got = mojibake.restorations(wrong)
+    assert right in got and mojibake.take_chain(wrong, got[right].split()) == right
+
+
+def test_margin_is_the_validated_one(spark):
+    rows = [(f"w{i}", 10, 10, float(i % 5), 0.5) for i in range(100)] + [("odd", 1, 0, 9.26, None)]
+    judged = spark.createDataFrame(rows, "word string, n0 long, n1 long, g0 double, g1 double")
+    n = sum(r[1] + r[2] for r in rows)
+    # Less than one word may gain more: the largest gain, to the next tenth, and what is missing.
+    assert mojibake.validated_margin(judged) == pytest.approx(9.3 - np.log(mojibake.FALSE_RATE * n))
+    many = judged.withColumns({"n0": judged["n0"] * 1_000_000, "n1": judged["n1"] * 1_000_000})
+    # 2,001 of two thousand million words may gain more: the one million of the odd word may not.
+    assert mojibake.validated_margin(many) == pytest.approx(9.3)
+
+
+def test_words_of_garbled_records_do_not_stay_in_training(spark):
+    clean = corpus(200, 6)
+    rows = [(i, t if i % 12 else BREAKS["utf-8 as cp437"](t)) for i, t in enumerate(clean)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    count = lambda parts, c: sum(int(n[cell == -1 - ord(c)].sum()) for cell, n in parts)
+    before = mojibake.fit_counts(mojibake.counted(documents))
+    parts, margin = mojibake.train(documents)
+    assert count(parts, "├") <= 0.05 * count(before, "├") and count(parts, "ü") >= 0.9 * count(before, "ü") and 0 < margin < 25
