@@ -111,6 +111,11 @@ class Build:
         self.t()
         return self.agg("series", lambda: F.transform(F.sort_array(F.collect_list(F.struct(T, V))), lambda p: p[V]))
 
+    def times(self) -> Column:
+        """The times in the order of the values, in microseconds."""
+        self.t()
+        return self.agg("times", lambda: F.transform(F.sort_array(F.collect_list(F.struct(F.col(T), F.unix_micros("_ts").alias("u")))), lambda p: p["u"]))
+
 
 def truth(c: Column) -> Column:
     return c.cast("double")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-Container = DataFrame | Mapping[str, DataFrame]
+Container = DataFrame | pd.DataFrame | Mapping[str, DataFrame]
 
 
 def q(name: str):
@@ -35,6 +36,30 @@ def check_nulls(df: DataFrame, columns: list[str]) -> None:
         raise ValueError(f"columns with missing values: {wrong}")
 
 
+def as_frame(given: object) -> DataFrame:
+    """A Spark frame; a pandas frame is sent to the running session."""
+    if isinstance(given, pd.DataFrame):
+        spark = SparkSession.getActiveSession()
+        if spark is None:
+            raise ValueError("a pandas frame needs a running session")
+        return spark.createDataFrame(given)
+    if not isinstance(given, DataFrame):
+        raise ValueError("a frame or a mapping of frames is needed")
+    return given
+
+
+def kinds_of(container: Container, column_id: str, column_sort: str | list[str] | None, column_kind: str | None, column_value: str | None, column_time: str | None) -> list[str] | None:
+    """The kinds, where the form of the input names them; None where they are data."""
+    if isinstance(container, Mapping):
+        return [str(k) for k in container]
+    if column_kind is not None:
+        return None
+    if column_value:
+        return [column_value]
+    sorts = [] if column_sort is None else [column_sort] if isinstance(column_sort, str) else list(column_sort)
+    return [c for c in container.columns if c not in (column_id, *sorts, column_time)]
+
+
 def to_long(
     container: Container,
     column_id: str,
@@ -56,12 +81,11 @@ def to_long(
         parts = []
         for kind, df in container.items():
             check_kind(str(kind))
-            parts.append(_long(df, column_id, sorts, F.lit(str(kind)), column_value, column_time, validate))
+            parts.append(_long(as_frame(df), column_id, sorts, F.lit(str(kind)), column_value, column_time, validate))
         if not parts:
             raise ValueError("no frames")
         return reduce(DataFrame.unionByName, parts)
-    if not isinstance(container, DataFrame):
-        raise ValueError("a frame or a mapping of frames is needed")
+    container = as_frame(container)
     check_columns(container, column_id, *sorts, column_kind, column_value, column_time)
     if column_kind is not None:
         return _long(container, column_id, sorts, q(column_kind).cast("string"), column_value, column_time, validate, (column_kind,))

@@ -1,4 +1,4 @@
-"""Feature extraction: from series to a feature table, as one Spark plan with one shuffle on (id, kind)."""
+"""Feature extraction: from series to a feature table, as one Spark plan with one scan and one shuffle on (id, kind)."""
 
 from __future__ import annotations
 
@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 from chronofold.functions import naming, settings
 from chronofold.functions.kernels import KERNELS
 from chronofold.functions.native import KEYS, NATIVE, Build
-from chronofold.plans.container import Container, to_long
+from chronofold.plans.container import Container, kinds_of, to_long
 
 Settings = Mapping[str | Callable, list[dict] | None]
+Request = tuple[str | Callable, str, dict | None]
 
+#: Options about processes and progress, which Spark has no use for.
+SCHEDULING = {"n_jobs", "chunksize", "disable_progressbar", "show_warnings", "distributor", "profile", "profiling_filename", "profiling_sorting", "parallelization"}
+#: Joins the names of the features in one literal.
+_BETWEEN = "\x1f"
 
-def _requests(chosen: Settings) -> list[tuple[str | Callable, str, dict | None]]:
+
+def _requests(chosen: Settings) -> list[Request]:
     """(calculator, name of the feature, parameters), in the order of the settings."""
     out = []
     for calc, sets in chosen.items():
@@ -28,33 +34,85 @@ def _requests(chosen: Settings) -> list[tuple[str | Callable, str, dict | None]]
     return out
 
 
-def _kernel_column(series: Column, calls: list[tuple[str | Callable, list[dict | None]]]) -> Column:
-    """All kernels of all series in one Arrow function: an array of results."""
+def _indexed(calc: str | Callable) -> bool:
+    """Does a custom calculator ask for a pandas series?"""
+    return callable(calc) and getattr(calc, "input", None) == "pd.Series"
 
-    @F.pandas_udf("array<double>")
-    def run(arrays: pd.Series) -> pd.Series:
+
+def _call(calc: str | Callable, x: np.ndarray, index: object, sets: list[dict | None]) -> list[float | None]:
+    """The results of one calculator for all its parameter sets.
+
+    Custom calculators are called once a set; those whose ``fctype`` is "combiner" once, with all sets as ``param``, and give (key, value) pairs in
+    the order of the sets. Those whose ``input`` is "pd.Series" get the values with their times as the index (or numbers, without times).
+    """
+    if isinstance(calc, str):
+        return KERNELS[calc](x, sets)
+    given = pd.Series(x, index=index) if _indexed(calc) else x
+    if getattr(calc, "fctype", None) == "combiner":
+        return [v for _, v in calc(given, param=[p or {} for p in sets])]
+    return [float(calc(given, **(p or {}))) for p in sets]
+
+
+def _kernel_column(series: Column, kind: Column, times: Column | None, calls: dict[str | Callable, list[tuple[dict | None, set[str] | None]]]) -> Column:
+    """All kernels of all series in one Arrow function: an array of results, NULL where a kind does not ask for it."""
+
+    def run(arrays: pd.Series, kinds: pd.Series, stamps: pd.Series | None = None) -> pd.Series:
+        plans: dict[str, list[tuple[str | Callable, list[int], list[dict | None]]]] = {}
+        size = sum(map(len, calls.values()))
         out = []
-        for a in arrays:
+        for i, (a, k) in enumerate(zip(arrays, kinds)):
+            if k not in plans:
+                plans[k], at = [], 0
+                for calc, sets in calls.items():
+                    here = [j for j, (_, wanted) in enumerate(sets) if wanted is None or k in wanted]
+                    if here:
+                        plans[k].append((calc, [at + j for j in here], [sets[j][0] for j in here]))
+                    at += len(sets)
             x = np.asarray(a, float)
-            row: list[float | None] = []
-            for calc, sets in calls:
+            index = None if stamps is None else pd.to_datetime(np.asarray(stamps[i]), unit="us", utc=True)
+            row: list[float | None] = [None] * size
+            for calc, places, sets in plans[k]:
                 with np.errstate(all="ignore"):
-                    if isinstance(calc, str):
-                        got = KERNELS[calc](x, sets)
-                    else:
-                        got = [float(calc(x, **(p or {}))) for p in sets]
-                row += [None if g is None or g != g else float(g) for g in got]
+                    for j, g in zip(places, _call(calc, x, index, sets)):
+                        row[j] = None if g is None or g != g else float(g)
             out.append(row)
         return pd.Series(out)
 
-    return run(series)
+    if times is None:
+
+        @F.pandas_udf("array<double>")
+        def kernels(arrays: pd.Series, kinds: pd.Series) -> pd.Series:
+            return run(arrays, kinds)
 
+        return kernels(series, kind)
 
-def feature_frame(long: DataFrame, chosen: Settings) -> tuple[DataFrame, list[str]]:
-    """(_id, _kind, f0, f1, ...) with one column per requested feature, and the features' names."""
-    requests = _requests(chosen)
-    if "_ts" not in long.columns:
-        requests = [r for r in requests if r[0] not in settings.TIMED]
+    @F.pandas_udf("array<double>")
+    def timed_kernels(arrays: pd.Series, kinds: pd.Series, stamps: pd.Series) -> pd.Series:
+        return run(arrays, kinds, stamps)
+
+    return timed_kernels(series, kind, times)
+
+
+def _merged(default: Settings | None, per_kind: Mapping[str, Settings], timed: bool) -> tuple[list[Request], dict[str | None, list[int]]]:
+    """All requests of all kinds, each once, and per kind the places of its own, in its settings' order; None stands for any other kind."""
+    place: dict[tuple, int] = {}
+    requests: list[Request] = []
+    own: dict[str | None, list[int]] = {}
+    for kind, chosen in [*([(None, default)] if default else []), *per_kind.items()]:
+        own[kind] = []
+        for r in _requests(chosen or {}):
+            if not timed and r[0] in settings.TIMED:
+                continue
+            key = (r[0], r[1])
+            if key not in place:
+                place[key] = len(requests)
+                requests.append(r)
+            own[kind].append(place[key])
+    return requests, own
+
+
+def value_frame(long: DataFrame, requests: list[Request], own: Mapping[str | None, list[int]] | None = None) -> DataFrame:
+    """(_id, _kind, values): one array per series with the requested features in order. Kernels run for the kinds that ask for them (``own``)."""
     build = Build()
     native: dict[int, Column] = {}
     calls: dict[str | Callable, list[tuple[int, dict | None]]] = {}
@@ -63,8 +121,11 @@ def feature_frame(long: DataFrame, chosen: Settings) -> tuple[DataFrame, list[st
             native[i] = NATIVE[calc](build, **(params or {}))
         else:
             calls.setdefault(calc, []).append((i, params))
+    times = None
     if calls:
         build.series()
+        if "_ts" in long.columns and any(map(_indexed, calls)):
+            times = build.times()
     rows = long
     if any(build.levels):
         # Said once, so that every window and the aggregate below use this one exchange.
@@ -75,37 +136,79 @@ def feature_frame(long: DataFrame, chosen: Settings) -> tuple[DataFrame, list[st
     if not build.aggs:
         build.n()
     groups = rows.groupBy(*KEYS).agg(*[c.alias(n) for n, c in build.aggs.items()])
-    place: dict[int, Column] = dict(native)
+    order = list(native)
+    values = F.array(*native.values()).cast("array<double>")
     if calls:
-        groups = groups.withColumn("_kernels", _kernel_column(F.col("series"), [(c, [p for _, p in sets]) for c, sets in calls.items()]))
-        for k, i in enumerate(i for sets in calls.values() for i, _ in sets):
-            place[i] = F.col("_kernels")[k]
-    return groups.select(*KEYS, *[place[i].cast("double").alias(f"f{i}") for i in range(len(requests))]), [name for _, name, _ in requests]
-
-
-def extract_long(long: DataFrame, default: Settings, per_kind: Mapping[str, Settings] | None = None) -> DataFrame:
-    """(id, variable, value) of every series in the canonical long frame. NULL: not defined for this series."""
-    parts = []
-    special = dict(per_kind or {})
-    if default:
-        rest = long.where(~F.col("_kind").isin(*special)) if special else long
-        parts.append((rest, default))
-    parts += [(long.where(F.col("_kind") == k), s) for k, s in special.items() if s]
-    out = None
-    for rows, chosen in parts:
-        frame, names = feature_frame(rows, chosen)
-        if not names:
-            continue
-        pairs = F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("name"), F.array(*[F.col(f"f{i}") for i in range(len(names))]).alias("value")))
-        one = frame.select(F.col("_id").alias("id"), "_kind", pairs.alias("p")).select("id", F.concat_ws("__", "_kind", F.col("p.name")).alias("variable"), F.col("p.value").alias("value"))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+        # A kind without settings of its own takes the default's; so only kinds with their own are told apart.
+        special = {k for k in (own or {}) if k is not None}
+        asks = {i: None if not special else {k for k in special if i in own[k]} for i in range(len(requests))}
+        rest = special and None in (own or {})
+        wanted = {c: [(p, asks[i]) for i, p in sets] for c, sets in calls.items()}
+        if rest:
+            # The default's own requests are asked for by every other kind: those are masked below, not skipped.
+            default = set(own[None])
+            wanted = {c: [(p, None if i in default else asks[i]) for i, p in sets] for c, sets in calls.items()}
+        groups = groups.withColumn("_kernels", _kernel_column(F.col("series"), F.col("_kind"), times, wanted))
+        values = F.concat(values, F.col("_kernels"))
+        order += [i for sets in calls.values() for i, _ in sets]
+    if order != list(range(len(requests))):
+        back = {i: k for k, i in enumerate(order)}
+        # One literal instead of a column per feature.
+        places = F.split(F.lit(",".join(str(back[i]) for i in range(len(requests)))), ",").cast("array<int>")
+        groups = groups.withColumn("_all", values)
+        values = F.transform(places, lambda k: F.get(F.col("_all"), k))
+    return groups.select(*KEYS, values.alias("values"))
+
+
+def _of_kinds(long: DataFrame, own: Mapping[str | None, list[int]]) -> DataFrame:
+    """The rows of the kinds that are asked for anything."""
+    if None in own:
+        nothing = [k for k, places in own.items() if k is not None and not places]
+        return long.where(~F.col("_kind").isin(nothing)) if nothing else long
+    return long.where(F.col("_kind").isin([k for k, places in own.items() if places]))
+
+
+def _long_form(frame: DataFrame, requests: list[Request], own: Mapping[str | None, list[int]]) -> DataFrame:
+    names = F.split(F.lit(_BETWEEN.join(name for _, name, _ in requests)), _BETWEEN)
+    literal = lambda places: F.split(F.lit(",".join(map(str, places))), ",").cast("array<int>")
+    special = [k for k in own if k is not None]
+    if not special:
+        pairs = F.arrays_zip(names.alias("name"), F.col("values").alias("value"))
+    else:
+        places = literal(own.get(None) or own[special[0]])
+        for k in special:
+            if own[k]:
+                places = F.when(F.col("_kind") == k, literal(own[k])).otherwise(places)
+        pairs = F.transform(places, lambda i: F.struct(F.get(names, i).alias("name"), F.get(F.col("values"), i).alias("value")))
+    return frame.select(F.col("_id").alias("id"), "_kind", F.explode(pairs).alias("p")).select("id", F.concat_ws("__", "_kind", F.col("p.name")).alias("variable"), F.col("p.value").alias("value"))
+
+
+def _plan(long: DataFrame, default: Settings | None, per_kind: Mapping[str, Settings] | None) -> tuple[DataFrame, list[Request], dict[str | None, list[int]]]:
+    requests, own = _merged(default, per_kind or {}, "_ts" in long.columns)
+    if not requests:
         raise ValueError("no calculators are asked for")
-    return out
+    return value_frame(_of_kinds(long, own), requests, own), requests, own
+
+
+def extract_long(long: DataFrame, default: Settings | None, per_kind: Mapping[str, Settings] | None = None) -> DataFrame:
+    """(id, variable, value) of every series in the canonical long frame. NULL: not defined for this series. All kinds share one scan."""
+    return _long_form(*_plan(long, default, per_kind))
+
+
+def extract_matrix(long: DataFrame, kinds: list[str], default: Settings | None, per_kind: Mapping[str, Settings] | None = None) -> DataFrame:
+    """One row per id with the features of all ``kinds``.
+
+    Series' features travel as one array to their id; a column is a place in a kind's array. So no row meets more than one condition per kind.
+    """
+    frame, requests, own = _plan(long, default, per_kind)
+    wide = frame.groupBy(F.col("_id").alias("id")).agg(*[F.first(F.when(F.col("_kind") == k, F.col("values")), ignorenulls=True).alias(f"_k{j}") for j, k in enumerate(kinds)])
+    tick = lambda name: "`" + name.replace("`", "``") + "`"
+    columns = [f"_k{j}[{i}] AS {tick(k + '__' + requests[i][1])}" for j, k in enumerate(kinds) for i in own.get(k, own.get(None, []))]
+    return wide.selectExpr("id", *columns)
 
 
 def pivot_features(features: DataFrame, variables: list[str] | None = None) -> DataFrame:
-    """The feature matrix: id and one column per variable, in order. The list of variables is discovered if it is not given."""
+    """Rows (id, variable, value) as a matrix: id and one column per variable, in order. The list of variables is discovered if it is not given."""
     if variables is None:
         variables = sorted(r[0] for r in features.select("variable").distinct().collect())
     return features.groupBy("id").agg(*[F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in variables])
@@ -123,24 +226,27 @@ def extract_features(
     impute_function: Callable[[DataFrame], DataFrame] | None = None,
     pivot: bool = True,
     validate: bool = True,
-    **ignored: object,
+    kinds: list[str] | None = None,
+    **scheduling: object,
 ) -> DataFrame:
     """Features of every series; the matrix (one row per id), or with ``pivot=False`` rows (id, variable, value).
 
     With neither settings given, all calculators run; with ``kind_to_fc_parameters`` alone, only the kinds it names. Settings about processes
-    and progress are accepted and ignored: Spark schedules. Features that need times run if ``column_time`` is given.
+    and progress are accepted and ignored: Spark schedules; any other option is an error. Features that need times run if ``column_time`` is given. The
+    columns of a matrix depend on the kinds: those of a long frame are found by a scan of that column, unless ``kinds`` gives them.
     """
+    if unknown := set(scheduling) - SCHEDULING:
+        raise TypeError(f"unknown options: {sorted(unknown)}")
     if default_fc_parameters is None:
         default_fc_parameters = {} if kind_to_fc_parameters else settings.ComprehensiveFCParameters()
     long = to_long(timeseries_container, column_id, column_sort, column_kind, column_value, column_time, validate)
-    features = extract_long(long, default_fc_parameters, kind_to_fc_parameters)
     if not pivot:
-        return features
-    kinds = sorted(r[0] for r in long.select("_kind").distinct().collect())
-    timed = column_time is not None
-    variables = []
-    for k in kinds:
-        chosen = (kind_to_fc_parameters or {}).get(k, default_fc_parameters)
-        variables += [f"{k}__{name}" for calc, name, _ in _requests(chosen or {}) if timed or calc not in settings.TIMED]
-    matrix = pivot_features(features, variables)
+        return extract_long(long, default_fc_parameters, kind_to_fc_parameters)
+    if kinds is None:
+        kinds = kinds_of(timeseries_container, column_id, column_sort, column_kind, column_value, column_time)
+    if kinds is None and not default_fc_parameters:
+        kinds = sorted(kind_to_fc_parameters)
+    if kinds is None:
+        kinds = sorted(r[0] for r in long.select("_kind").distinct().collect() if r[0] is not None)
+    matrix = extract_matrix(long, sorted(kinds), default_fc_parameters, kind_to_fc_parameters)
     return impute_function(matrix) if impute_function else matrix
