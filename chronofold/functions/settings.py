@@ -82,6 +82,17 @@ def comprehensive() -> dict[str, list[dict] | None]:
 NAMES = tuple(comprehensive())
 
 
+#: Marks of calculators, for ``include_function``.
+MARKS = {"high_comp_cost": EXPENSIVE, "minimal": MINIMAL, "input": INDEXED, "index_type": TIMED}
+
+
+def include_function(calculator: str, exclusion_mark: str | None = None) -> bool:
+    """Is this the name of a calculator that does not carry the mark (high_comp_cost, minimal, input, index_type)?"""
+    if exclusion_mark is not None and exclusion_mark not in MARKS:
+        raise ValueError(f"unknown mark {exclusion_mark!r}")
+    return calculator in NAMES and (exclusion_mark is None or calculator not in MARKS[exclusion_mark])
+
+
 class Settings(dict):
     """Settings that started from the comprehensive ones, kept for some calculators only."""
 

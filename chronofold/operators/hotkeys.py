@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronofold.util import private_names, shuffle_partitions, usable
+from chronofold.util import checkpointed, private_names, shuffle_partitions, usable
 
 
 def keyed_aggregate(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column]) -> DataFrame:
@@ -35,7 +35,8 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
 
     All rows count towards the total, those with a NULL key too. Empty table: no rows.
     """
-    counts = keyed_aggregate(df, keys, {"n_rows": F.count(F.lit(1))})
+    # A row per key: written once, so that the table is read once for the counts and their total.
+    counts = checkpointed(keyed_aggregate(df, keys, {"n_rows": F.count(F.lit(1))}))
     total = counts.agg(F.sum("n_rows").alias("total"))
     kept = counts.where(F.col("n_rows") >= F.lit(share) * total.scalar())
     return kept.where(" and ".join(f"`{k}` is not null" for k in keys))

@@ -23,19 +23,24 @@ def finite(c: Column) -> Column:
     return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(INF)), c)
 
 
-def get_range_values_per_column(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
-    """(maximum, minimum, median) of the finite values of each column, in one pass; 0 for a column without any."""
+def get_range_values_per_column(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
+    """(maximum, minimum, median) of the finite values of each column, in one pass; 0 for a column without any.
+
+    The exact median keeps the counts of a column's distinct values in one state; with ``accuracy`` it is a sketch of bounded size whose rank is
+    off by at most 1 / accuracy of the rows.
+    """
+    median = F.median if accuracy is None else lambda c: F.percentile_approx(c, 0.5, accuracy)
     columns = list(columns if columns is not None else number_columns(df))
     if not columns:
         return {}, {}, {}
-    aggs = [f(finite(_q(c))).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.max), ("b", F.min), ("c", F.median))]
+    aggs = [f(finite(_q(c))).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.max), ("b", F.min), ("c", median))]
     got = df.agg(*aggs).collect()[0].asDict()
     return tuple({c: float(got[f"{n}{i}"]) if got[f"{n}{i}"] is not None else 0.0 for i, c in enumerate(columns)} for n in "abc")
 
 
-def impute_dataframe_range(df: DataFrame, col_to_max: Mapping[str, float], col_to_min: Mapping[str, float], col_to_median: Mapping[str, float]) -> DataFrame:
-    """+infinity -> maximum, -infinity -> minimum, NaN and NULL -> median, as given; every number column needs all three, finite."""
-    columns = number_columns(df)
+def impute_dataframe_range(df: DataFrame, col_to_max: Mapping[str, float], col_to_min: Mapping[str, float], col_to_median: Mapping[str, float], columns: Sequence[str] | None = None) -> DataFrame:
+    """+infinity -> maximum, -infinity -> minimum, NaN and NULL -> median, as given; every number column (or of ``columns``) needs all three, finite."""
+    columns = list(columns if columns is not None else number_columns(df))
     for given in (col_to_max, col_to_min, col_to_median):
         if missing := [c for c in columns if c not in given]:
             raise ValueError(f"no replacement for {missing}")

@@ -156,6 +156,14 @@ def control_false_discoveries(table: DataFrame, level: float = FDR_LEVEL, indepe
     return ranked.withColumn("relevant", F.coalesce(real & (F.col("_rank") <= last), F.lit(False))).drop("_m", "_rank")
 
 
+def check_alignment(X: DataFrame, y: DataFrame) -> None:
+    """X and y must have the same ids, and y one row per id. One pass over the ids."""
+    ids = X.select("id").withColumn("_x", F.lit(1)).distinct().unionByName(y.select("id").withColumn("_y", F.lit(1)), allowMissingColumns=True)
+    bad = ids.groupBy("id").agg(F.count("_x").alias("x"), F.count("_y").alias("y")).where("x <> 1 or y <> 1 or id is null").limit(5).collect()
+    if bad:
+        raise ValueError(f"X and y do not have the same ids, each once in y, such as {[r['id'] for r in bad]}")
+
+
 def calculate_relevance_table(
     X: DataFrame,
     y: DataFrame,
@@ -165,17 +173,27 @@ def calculate_relevance_table(
     test_for_binary_target_real_feature: str = "mann",
     fdr_level: float = FDR_LEVEL,
     hypotheses_independent: bool = False,
-    **ignored: object,
+    test_for_binary_target_binary_feature: str = "fisher",
+    test_for_real_target_binary_feature: str = "mann",
+    test_for_real_target_real_feature: str = "kendall",
+    **scheduling: object,
 ) -> DataFrame:
     """(feature, type, p_value, relevant) of every feature; with ``multiclass`` p_value_L and relevant_L per label and n_significant.
 
-    ``X``: a matrix with ``id``, or rows (id, variable, value). ``y``: (id, y). Ids must be the same in both. Classification tests each label against the rest and
+    ``X``: a matrix with ``id``, or rows (id, variable, value). ``y``: (id, y), one row per id. Ids must be the same in both, else it is an error; so are unknown
+    options (those about processes are ignored). Classification tests each label against the rest and
     calls a feature relevant if it is for any label, with its smallest p; constants are irrelevant and have no p-value.
     """
     if ml_task not in ("auto", "classification", "regression"):
         raise ValueError("ml_task must be auto, classification or regression")
     if test_for_binary_target_real_feature not in ("mann", "smir"):
         raise ValueError("the test must be mann or smir")
+    only = {"test_for_binary_target_binary_feature": (test_for_binary_target_binary_feature, "fisher"), "test_for_real_target_binary_feature": (test_for_real_target_binary_feature, "mann"), "test_for_real_target_real_feature": (test_for_real_target_real_feature, "kendall")}
+    if wrong := [f"{k}={got!r}" for k, (got, known) in only.items() if got != known]:
+        raise ValueError(f"unknown tests: {wrong}")
+    if unknown := set(scheduling) - {"n_jobs", "chunksize", "show_warnings"}:
+        raise TypeError(f"unknown options: {sorted(unknown)}")
+    check_alignment(X, y)
     if ml_task == "auto":
         ml_task = infer_ml_task(y)
     # Used several times below, and small beside the series it was extracted from.

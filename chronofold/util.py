@@ -21,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a local session) a folder of our own is used.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session may leave it unset (tests); then a
+    temporary folder is used. On a cluster that is an error: executors would write to their own disks.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"chronofold-{uuid.uuid4().hex}"))
     return df.checkpoint(eager=True)
 
