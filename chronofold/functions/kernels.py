@@ -429,27 +429,6 @@ def max_langevin_fixed_point(x, r, m):
     return float(np.max(np.real(roots))) if len(roots) else NAN
 
 
-@kernel
-def linear_trend_pvalue(x, params):
-    """The p-value only; the other attributes of the trend are Spark expressions."""
-    return [trend_pvalue(np.arange(len(x), dtype=float), x)] * len(params)
-
-
-def trend_pvalue(t: np.ndarray, x: np.ndarray) -> float:
-    n = len(x)
-    if n < 2:
-        return NAN
-    tx, xx = t - t.mean(), x - x.mean()
-    stt, sxx = tx @ tx, xx @ xx
-    if stt == 0:
-        return NAN
-    r = 0.0 if sxx == 0 else float(np.clip((tx @ xx) / math.sqrt(stt * sxx), -1, 1))
-    if n == 2:
-        return 1.0 if x[0] == x[1] else 0.0
-    dof = n - 2
-    return student_two_sided(r * math.sqrt(dof / ((1 - r + 1e-20) * (1 + r + 1e-20))), dof)
-
-
 # --- entropies and complexities ---------------------------------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ from chronofold.functions import naming, settings
 from chronofold.functions.kernels import KERNELS
 from chronofold.functions.native import KEYS, NATIVE, Build
 from chronofold.plans.container import Container, kinds_of, to_long
+from chronofold.util import shuffle_partitions
 
 Settings = Mapping[str | Callable, list[dict] | None]
 Request = tuple[str | Callable, str, dict | None]
@@ -128,8 +129,9 @@ def value_frame(long: DataFrame, requests: list[Request], own: Mapping[str | Non
             times = build.times()
     rows = long
     if any(build.levels):
-        # Said once, so that every window and the aggregate below use this one exchange.
-        rows = rows.repartition(*KEYS)
+        # Said once, so that every window and the aggregate below use this one exchange. Kernels cost far more than the bytes they read, so their
+        # partitions must not be coalesced by size.
+        rows = rows.repartition(*([shuffle_partitions(rows.sparkSession)] if calls else []), *KEYS)
     for level in build.levels:
         if level:
             rows = rows.withColumns(level)

@@ -76,6 +76,23 @@ MATRIX_SQL = "SELECT user_id AS id, " + ", ".join(
 ) + " FROM events GROUP BY 1"
 
 
+def x_comprehensive(spark: SparkSession, d: str) -> DataFrame:
+    """The reference call: all calculators of all kinds, as a matrix."""
+    return extract_features(_events(spark, d), validate=True, **EVENT)
+
+
+def x_efficient(spark: SparkSession, d: str) -> DataFrame:
+    return extract_features(_events(spark, d), settings.EfficientFCParameters(), validate=False, pivot=False, **EVENT)
+
+
+def x_relevant(spark: SparkSession, d: str) -> DataFrame:
+    """Extraction, imputation and selection: which features of a user's events tell whether the user's clicks are worth more than 50 on average."""
+    events = _events(spark, d)
+    y = events.where("event_type = 'click'").groupBy("user_id").agg((F.avg("value") > 50).cast("double").alias("y")).select(F.col("user_id").alias("id"), "y")
+    rows = events.join(y.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    return pipeline.extract_relevant_features(rows, y, default_fc_parameters=settings.MinimalFCParameters(), **EVENT)
+
+
 def x_settings_per_kind(spark: SparkSession, d: str) -> DataFrame:
     per_kind = {"click": {"maximum": None}, "view": {"length": None, "minimum": None}}
     return rounded(extract_features(_events(spark, d), None, per_kind, pivot=False, validate=False, **EVENT))

@@ -28,9 +28,20 @@ def of_events(spark: SparkSession, d: str, chosen: dict) -> DataFrame:
     return rounded(got)
 
 
-def _sql(pairs: list[tuple[str, str]], more: str = "", again: str = "") -> str:
+#: Series as lists: short ones of events, and long, tied, signed ones of the lines of suppliers.
+EVENT_LISTS = "SELECT user_id AS id, event_type AS kind, list(value ORDER BY ts, event_id) AS x, list(epoch_us(ts) ORDER BY ts, event_id) AS us FROM events GROUP BY 1, 2"
+LINE_LISTS = "SELECT l_suppkey AS id, 'line' AS kind, list(CAST(l_quantity AS DOUBLE) - 25 ORDER BY l_orderkey, l_linenumber, l_quantity) AS x FROM lineitem GROUP BY 1"
+
+
+def of_lines(spark: SparkSession, d: str, chosen: dict) -> DataFrame:
+    """Features of the signed quantities of each supplier's lines, in the order of the lines."""
+    lines = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", (F.col("l_quantity").cast("double") - 25).alias("line"))
+    return rounded(extract_features(lines, chosen, column_id="l_suppkey", column_sort=["l_orderkey", "l_linenumber", "l_quantity"], column_value="line", pivot=False, validate=False))
+
+
+def _sql(pairs: list[tuple[str, str]], more: str = "", again: str = "", lists: str = EVENT_LISTS) -> str:
     items = ", ".join("{'variable': '" + n.replace("'", "''") + f"', 'value': CAST({e} AS DOUBLE)" + "}" for n, e in pairs)
-    return f"""WITH s AS (SELECT user_id AS id, event_type AS kind, list(value ORDER BY ts, event_id) AS x, list(epoch_us(ts) ORDER BY ts, event_id) AS us FROM events GROUP BY 1, 2),
+    return f"""WITH s AS ({lists}),
 b AS (SELECT *, len(x) AS n, list_avg(x) AS mu, list_stddev_pop(x) AS sd, list_var_pop(x) AS var, list_min(x) AS lo, list_max(x) AS hi{more} FROM s),
 c AS (SELECT *{again} FROM b),
 u AS (SELECT id, kind, unnest([{items}]) AS f FROM c)
@@ -58,6 +69,16 @@ def often(v: str) -> str:
     return f"len(list_filter(x, lambda w: w = {v}))"
 
 
+def _two_sided(r: str, n: str) -> str:
+    """The two-sided p-value of a correlation: the t distribution's tail for whole degrees of freedom is a finite sum of cosines."""
+    k = f"({n} - 2)"
+    angle = f"atan(abs({r}) / sqrt((1 - {r} + 1e-20) * (1 + {r} + 1e-20)))"
+    term = lambda up, low: f"pow(cos({angle}), 2 * j) * list_product(list_transform(range(1, j + 1), lambda m: {up} / {low}))"
+    even = f"sin({angle}) * (1 + coalesce(list_sum(list_transform(range(1, {k} // 2), lambda j: {term('(2 * m - 1)', '(2 * m)')})), 0))"
+    odd = f"2 / pi() * ({angle} + CASE WHEN {k} > 1 THEN sin({angle}) * cos({angle}) * (1 + coalesce(list_sum(list_transform(range(1, ({k} - 1) // 2), lambda j: {term('(2 * m)', '(2 * m + 1)')})), 0)) ELSE 0 END)"
+    return f"CASE WHEN {n} > 2 THEN greatest(0, 1 - CASE WHEN {k} % 2 = 0 THEN {even} ELSE {odd} END) WHEN {n} = 2 THEN CASE WHEN {r} = 0 THEN 1.0 WHEN {r} IS NOT NULL THEN 0.0 END END"
+
+
 def trend(attr: str, x: str, n: str = "n", y: str = "x[i]", my: str = "mu") -> str:
     """Least squares of y on x(i), in closed form."""
     mx = f"({average(x, '1', n)})"
@@ -66,6 +87,8 @@ def trend(attr: str, x: str, n: str = "n", y: str = "x[i]", my: str = "mu") -> s
     vy = f"({total(f'pow({y} - {my}, 2)', '1', n)} / {n})"
     slope = f"({cov} / nullif({vx}, 0))"
     r = f"(CASE WHEN {vy} > 0 THEN greatest(-1, least(1, {cov} / nullif(sqrt({vx} * {vy}), 0))) WHEN {vx} > 0 THEN 0 END)"
+    if attr == "pvalue":
+        return _two_sided(r, n)
     return {"slope": slope, "intercept": f"({my} - {slope} * {mx})", "rvalue": r, "stderr": f"(CASE WHEN {n} > 2 THEN sqrt((1 - pow({r}, 2)) * {vy} / nullif({vx}, 0) / ({n} - 2)) WHEN {vx} > 0 THEN 0 END)"}[attr]
 
 
@@ -216,14 +239,36 @@ def _special(name: str) -> str | None:
 
         return _sql([(n, one(**p)) for n, p in named], again=cols)
     if name == "query_similarity_count":
-        return _sql([(n, "NULL") for n, _ in named])
+        return _sql([(naming.feature_name(name, p), _similar(**p)) for p in SIMILAR])
+    if name == "fourier_entropy":
+        scaled = _POWER + ", list_transform(p, lambda v: v / nullif(list_max(p), 0)) AS r"
+        return _sql([(n, f"CASE WHEN list_max(p) > 0 THEN {_entropy(_bins('r', p['bins']), 'len(r)')} END") for n, p in named], again=scaled)
     return None
 
 
+#: The default asks for no query, which has no result; so the query asks for one with a rise and a fall, with and without normalising.
+SIMILAR = [{"query": [1.0, 4.0, 2.0], "threshold": t, "normalize": z} for z, t in ((True, 0.5), (True, 1.5), (False, 40.0))]
+
+
+def _similar(query: list[float], threshold: float, normalize: bool) -> str:
+    m = len(query)
+    at = [f"x[i + {k}]" for k in range(m)]
+    if normalize:
+        mean, center = f"(({' + '.join(at)}) / {m})", sum(query) / m
+        sd = f"sqrt(({' + '.join(f'pow({a} - {mean}, 2)' for a in at)}) / {m})"
+        spread = (sum((q - center) ** 2 for q in query) / m) ** 0.5
+        at, query = [f"(CASE WHEN {sd} > 1e-12 THEN ({a} - {mean}) / {sd} ELSE 0 END)" for a in at], [(q - center) / spread for q in query]
+    far = " + ".join(f"pow({a} - {q!r}, 2)" for a, q in zip(at, query))
+    return f"CASE WHEN n >= {m} THEN {count(f'sqrt({far}) <= {threshold}', '1', f'n - {m - 1}')} END"
+
+
+def _bins(items: str, bins: int) -> str:
+    low, high = f"list_min({items})", f"list_max({items})"
+    return f"list_transform({items}, lambda v: CASE WHEN {high} > {low} THEN least(floor((v - {low}) / ({high} - {low}) * {bins}), {bins - 1}) ELSE 0 END)"
+
+
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    chosen = settings.comprehensive()[name]
-    if name in ("linear_trend", "linear_trend_timewise"):
-        chosen = [p for p in chosen if p["attr"] != "pvalue"]
+    chosen = SIMILAR if name == "query_similarity_count" else settings.comprehensive()[name]
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         return of_events(spark, d, {name: chosen})
@@ -234,14 +279,31 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 def _oracle(name: str) -> str | None:
     if name in EXPRESSIONS:
         sets = settings.comprehensive()[name] or [None]
-        return _sql([(naming.feature_name(name, p), EXPRESSIONS[name](**(p or {}))) for p in sets if not p or p.get("attr") != "pvalue"])
+        return _sql([(naming.feature_name(name, p), EXPRESSIONS[name](**(p or {}))) for p in sets])
     return _special(name)
 
 
+#: Calculators that are also tested on long series: those whose SQL is linear in the length.
+LONG = ["ratio_beyond_r_sigma", "large_standard_deviation", "symmetry_looking", "cid_ce", "mean_abs_change", "mean_change", "mean_second_derivative_central", "variance", "skewness", "kurtosis", "root_mean_square", "absolute_sum_of_changes", "longest_strike_below_mean", "longest_strike_above_mean", "count_above_mean", "count_below_mean", "last_location_of_maximum", "first_location_of_maximum", "last_location_of_minimum", "first_location_of_minimum", "time_reversal_asymmetry_statistic", "c3", "mean_n_absolute_max", "autocorrelation", "quantile", "number_crossing_m", "value_count", "range_count", "count_above", "count_below", "energy_ratio_by_chunks"]
+LONG_CHANGES = {"change_quantiles": [{"ql": a, "qh": b, "isabs": z, "f_agg": f} for a, b in ((0.2, 0.8),) for z in (False, True) for f in ("mean", "var")], "number_peaks": [{"n": n} for n in (1, 3, 5, 10, 50)]}
+LONG_SPECTRA = {"fft_coefficient": [{"coeff": k, "attr": a} for k in (0, 1, 7, 50, 99) for a in ("real", "imag", "abs")], "index_mass_quantile": [{"q": q} for q in (0.1, 0.5, 0.9)]}
+
+
+def _long_sets(names: list[str]) -> dict:
+    return {n: settings.comprehensive()[n] for n in names}
+
+
+def _long_sql(chosen: dict) -> str:
+    one = lambda n, p: _fft(**p) if n == "fft_coefficient" else EXPRESSIONS[n](**(p or {}))
+    return _sql([(naming.feature_name(n, p), one(n, p)) for n, sets in chosen.items() for p in sets or [None]], lists=LINE_LISTS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 for _i, _name in enumerate(settings.NAMES):
     QUERIES[f"f_{_name}"] = _query(_name)
     if (_text := _oracle(_name)) is not None:
         SQL[f"f_{_name}"] = _text
-QUERIES["f_linear_trend_pvalue"] = lambda spark, d: of_events(spark, d, {"linear_trend": [{"attr": "pvalue"}], "linear_trend_timewise": [{"attr": "pvalue"}]})
+for _name, _chosen in {"x_long_statistics": _long_sets(LONG), "x_long_changes": LONG_CHANGES, "x_long_spectra": LONG_SPECTRA}.items():
+    QUERIES[_name] = lambda spark, d, chosen=_chosen: of_lines(spark, d, chosen)
+    SQL[_name] = _long_sql(_chosen)
