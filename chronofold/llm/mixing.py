@@ -50,6 +50,11 @@ def token_quotas(available: dict[str, int], shares: dict[str, float], repeats: d
     return quota
 
 
+#: Shards that are drawn for together on the driver.
+GROUP = 256
+PLAN = pa.schema([("shard", pa.int32()), ("_source", pa.string()), ("_place", pa.int32()), ("_j", pa.int64()), ("_draws", pa.int64()), ("_i", pa.int64()), ("_size", pa.int64()), ("_blocks", pa.int64())])
+
+
 def slot_quotas(tokens: dict[str, float], available: dict[str, int], repeats: dict[str, int], block: int) -> dict[str, int]:
     """Blocks each source gives: its tokens over the mean length of its blocks (the last is short), to the nearest, within its limit."""
     out = {}
@@ -59,15 +64,21 @@ def slot_quotas(tokens: dict[str, float], available: dict[str, int], repeats: di
     return out
 
 
-def shard_draws(quota: dict[str, int], shards: int, seed: int) -> list[tuple[int, str, int, int]]:
-    """(shard, source, first draw, draws): multinomial counts per shard, conditioned on the quotas being met over all shards."""
+def shard_draws(quota: dict[str, int], shards: int, seed: int | list[int], weights: list[int] | None = None) -> list[tuple[int, str, int, int]]:
+    """(shard, source, first draw, draws): multinomial counts per shard, conditioned on the quotas being met over all shards.
+
+    ``weights``: the shards that each entry stands for, if these are groups of shards.
+    """
+    weights = weights or [1] * shards
+    standing = sum(weights)
     rng = np.random.default_rng(seed)
     names = sorted(s for s in quota if quota[s])
     left = np.array([quota[s] for s in names], np.int64)
     drawn = np.zeros(len(names), np.int64)
     out = []
     for k in range(shards):
-        size = int(left.sum()) // (shards - k)
+        size = int(left.sum()) * weights[k] // standing
+        standing -= weights[k]
         take = left.copy()
         if k < shards - 1:
             # The multinomial conditioned on the totals is the multivariate hypergeometric, drawn one source after another.
@@ -136,17 +147,33 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", source: str =
     parts = parts.select("_source", "block", "_key", first.alias("first_token"), (F.least(F.col("_n"), (F.col("block") + 1) * b - F.col("_at")) - first).alias("n_tokens"))
 
     place = {s: i for i, s in enumerate(sorted(shares))}
-    sizes_of = {}
-    draws = shard_draws(quota, shards, seed)
-    for k, _, _, n in draws:
-        sizes_of[k] = sizes_of.get(k, 0) + n
-    before: dict[int, int] = {}
-    rows = []
-    for k, s, j, n in draws:
-        rows.append((k, s, place[s], j, n, before.get(k, 0), sizes_of[k], blocks[s]))
-        before[k] = before.get(k, 0) + n
-    plan = spark.createDataFrame(rows, "shard int, _source string, _place int, _j long, _draws long, _i long, _size long, _blocks long")
-    plan = plan.repartition(max(1, min(len(rows), shuffle_partitions(spark))), "shard")
+    # The driver draws for groups of shards only; each group draws for its shards where it lies.
+    weights = [min(GROUP, shards - k) for k in range(0, shards, GROUP)]
+    of_group: dict[int, list[tuple[str, int, int]]] = {}
+    for g, s, j, n in shard_draws(quota, len(weights), seed, weights):
+        of_group.setdefault(g, []).append((s, j, n))
+    rows = [(g, weights[g], [s for s, _, _ in x], [place[s] for s, _, _ in x], [blocks[s] for s, _, _ in x], [j for _, j, _ in x], [n for _, _, n in x]) for g, x in of_group.items()]
+    groups = spark.createDataFrame(rows, "g int, shards int, sources array<string>, places array<int>, blocks array<long>, firsts array<long>, draws array<long>")
+
+    def shared_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                of = {s: (p, b, j) for s, p, b, j in zip(r["sources"], r["places"], r["blocks"], r["firsts"])}
+                draws = shard_draws(dict(zip(r["sources"], r["draws"])), r["shards"], [seed, r["g"]])
+                sizes_of: dict[int, int] = {}
+                for k, _, _, n in draws:
+                    sizes_of[k] = sizes_of.get(k, 0) + n
+                before: dict[int, int] = {}
+                out = []
+                for k, s, j, n in draws:
+                    p, b, first = of[s]
+                    out.append({"shard": r["g"] * GROUP + k, "_source": s, "_place": p, "_j": first + j, "_draws": n, "_i": before.get(k, 0), "_size": sizes_of[k], "_blocks": b})
+                    before[k] = before.get(k, 0) + n
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, PLAN)
+
+    plan = groups.repartition(max(1, min(len(rows), shuffle_partitions(spark))), "g").mapInArrow(shared_out, "shard int, _source string, _place int, _j long, _draws long, _i long, _size long, _blocks long")
+    plan = plan.repartition(max(1, min(shards, shuffle_partitions(spark))), "shard")
     draw = plan.select("shard", "_source", "_place", "_j", "_i", "_size", "_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_draws") - 1)).alias("_k"))
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -373,7 +373,7 @@ def _kept(kind: str, number: int, make) -> object:
 
 
 def _with_readings(found: DataFrame, parts: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """The words with their readings in known characters, and the chains."""
+    """The words with their readings in known characters."""
     shared = found.sparkSession.sparkContext.broadcast(parts)
     number = shared._jbroadcast.id()
 
@@ -381,9 +381,9 @@ def _with_readings(found: DataFrame, parts: list[tuple[np.ndarray, np.ndarray]])
         model = _kept("readings", number, lambda: model_of(*shared.value))
         for b in batches:
             others = model.readings(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([list(r) for r in others], pa.list_(pa.string())), pa.array([list(r.values()) for r in others], pa.list_(pa.string()))], [*b.schema.names, "readings", "chains"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([list(r) for r in others], pa.list_(pa.string()))], [*b.schema.names, "readings"])
 
-    return spread_out(found).mapInArrow(run, "word string, " + "".join(f"n{f} long, " for f in range(FOLDS)) + "readings array<string>, chains array<string>")
+    return spread_out(found).mapInArrow(run, "word string, " + "".join(f"n{f} long, " for f in range(FOLDS)) + "readings array<string>")
 
 
 def _judged(words_: DataFrame, parts: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -416,7 +416,7 @@ def _judged(words_: DataFrame, parts: list[tuple[np.ndarray, np.ndarray]]) -> Da
             names = [*(f"g{f}" for f in range(FOLDS)), "sure", "likelier"]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *names])
 
-    fixed = "word string, " + "".join(f"n{f} long, " for f in range(FOLDS)) + "readings array<string>, chains array<string>, "
+    fixed = "word string, " + "".join(f"n{f} long, " for f in range(FOLDS)) + "readings array<string>, "
     return spread_out(words_).mapInArrow(run, fixed + "".join(f"g{f} double, " for f in range(FOLDS)) + "sure boolean, likelier array<string>")
 
 

@@ -47,7 +47,6 @@ def token_sizes(documents: DataFrame, keep: list[str], text: str = "text", vocab
                 b = whole.slice(k, ROWS)
                 counts = []
                 for t in b.column(b.num_columns - 1).to_pylist():
-                    # Lines are tokenized one by one: the pattern never joins text across "\\n" but for white space.
                     counts.append(len(enc.encode_ordinary(t)) if t else 0)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(counts, pa.int64())], [*b.schema.names[:-1], "n_tokens"])
 
