@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ TEXT_STAND_INS = ("", "-", "--", "---", "?", "??", ".", "n/a", "#n/a", "na", "n.
 
 #: Rank, passes, ridge (as a multiple of what noise explains: 1 cuts it off), and how many records' worth of weight a wider mean has against a group's own.
 RANK, PASSES, RIDGE, SHRINK = 3, 8, 0.8, 0.5
-#: A text column is a category: more distinct values than this are refused, as every one becomes a column of cells.
+#: Every category of a text column becomes a column of cells; a text column with more distinct values than this is filled by modes instead.
 MOST_CATEGORIES = 256
 
 
@@ -99,7 +100,8 @@ def fill_from_similar(
     (``time``, UTC) where the group has few values, and stand on it where it has none; days without values, and rows without a time, use
     the whole table. Alternating least squares then explains what is left by ``rank`` factors per record and per encoded column,
     from all observed cells. A missing numeric cell is decoded to base + fit, kept within the range its scope holds; a missing text cell to the
-    likeliest category of the column.
+    likeliest category of the column. A text column with more than MOST_CATEGORIES distinct values has no cells in the fit: its missing cells take the
+    most frequent value of their group (else day, else table; ties: the greatest).
 
     Result: all columns with missing cells filled, and ``filled``, a map from the column filled to its scope: ``group`` (another
     record of the group has a value), ``day``, ``all``, or ``none`` (the table holds no value of this column: the cell is NULL).
@@ -114,19 +116,20 @@ def fill_from_similar(
     base = base.withColumn("k", F.xxhash64(*[F.col("row")[c] for c in row_key]))
     base = checkpointed(base)
 
-    categories = []
+    categories: list[list[str]] = []
+    many: list[int] = []
     for i in range(len(texts)):
         some = base.where(f"t{i} is not null").groupBy(f"t{i}").count().orderBy(F.desc("count"), f"t{i}").limit(MOST_CATEGORIES + 1).collect()
         if len(some) > MOST_CATEGORIES:
-            raise ValueError(f"{texts[i]} has more than {MOST_CATEGORIES} values: not a category")
-        categories.append([r[0] for r in some])
+            many.append(i)
+        categories.append([] if i in many else [r[0] for r in some])
     # Encoded columns: numbers, then the indicators of each text column.
     encoded = [(f"n{i}", F.col(f"n{i}")) for i in range(len(numbers))]
     for i, cats in enumerate(categories):
         encoded += [(f"t{i}_{j}", F.when(F.col(f"t{i}").isNotNull(), (F.col(f"t{i}") == c).cast("double"))) for j, c in enumerate(cats)]
     names = [n for n, _ in encoded]
     p = len(names)
-    if not p:
+    if not p and not many:
         return once.withColumn(filled, F.create_map().cast("map<string,string>"))
 
     def stats(by: list[str], prefix: str) -> DataFrame:
@@ -134,10 +137,18 @@ def fill_from_similar(
         ends = [x for i in range(len(numbers)) for x in (F.min(f"n{i}").alias(f"{prefix}lo_n{i}"), F.max(f"n{i}").alias(f"{prefix}hi_n{i}"))]
         return base.groupBy(*by).agg(F.count(F.lit(1)).alias(f"{prefix}rows"), *per, *ends)
 
-    by_group = checkpointed(stats(["g"], "g").where("g is not null"))
-    by_day = checkpointed(stats(["d"], "d").where("d is not null"))
+    def with_modes(per: DataFrame, by: str) -> DataFrame:
+        """Beside a group's (day's) statistics, the most frequent value of each text column that has many."""
+        for i in many:
+            counts = base.where(f"t{i} is not null and {by} is not null").groupBy(by, f"t{i}").count()
+            per = per.join(counts.groupBy(by).agg(F.max_by(f"t{i}", F.struct("count", f"t{i}")).alias(f"{by}mode{i}")), by, "left")
+        return per
+
+    by_group = checkpointed(with_modes(stats(["g"], "g").where("g is not null"), "g"))
+    by_day = checkpointed(with_modes(stats(["d"], "d").where("d is not null"), "d"))
     whole = stats([], "a")
     everything = whole.collect()[0].asDict()
+    modes = {i: base.where(f"t{i} is not null").groupBy(f"t{i}").count().agg(F.max_by(f"t{i}", F.struct("count", f"t{i}"))).collect()[0][0] for i in many}
     rows = salted_join(base, by_group, ["g"], "grows", ["k"])
     rows = salted_join(rows, by_day, ["d"], "drows", ["k"])
 
@@ -151,24 +162,21 @@ def fill_from_similar(
         bases.append(b)
         cells.append((e - b).alias(f"x_{n}"))
     # Every encoded column is scaled by its spread around its base, so that no column outweighs the others in the fit.
-    rest = rows.select(*cells).agg(*[F.sqrt(F.avg(F.col(f"x_{n}") * F.col(f"x_{n}"))).alias(n) for n in names]).collect()[0].asDict()
+    rest = {} if not p else rows.select(*cells).agg(*[F.sqrt(F.avg(F.col(f"x_{n}") * F.col(f"x_{n}"))).alias(n) for n in names]).collect()[0].asDict()
     scales = [float(rest[n] or 1.0) or 1.0 for n in names]
     cells = [F.coalesce((e - b) / s, F.lit(float("nan"))) for (_, e), b, s in zip(encoded, bases, scales)]
-    rows = checkpointed(rows.select("row", "g", "d", *clean, F.array(*cells).alias("cells"), F.array(*bases).alias("bases"), *[f"{x}c_{n}" for x in "gd" for n in names], *[f"{x}{e}_n{i}" for x in "gd" for e in ("lo", "hi") for i in range(len(numbers))]))
-    v = fit_factors(rows, p, rank, passes, ridge)
-
-    def residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, m = _cells(b, p)
-            fit = _solve(v, x, m, ridge) @ v.T
-            offsets = pa.array(np.arange(0, fit.size + 1, p, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(fit.ravel()))], [*b.schema.names[:-1], "fit"])
-
-    # The record itself need not pass through Python: only what decides its cells does, under a key.
-    keyed = rows.withColumn("rid", F.monotonically_increasing_id())
-    keyed = checkpointed(keyed)
-    fits = keyed.select("rid", "cells").mapInArrow(residuals, "rid long, fit array<double>")
-    both = keyed.drop("cells").join(fits, "rid")
+    cells, bases = (F.array(*x).cast("array<double>") for x in (cells, bases))
+    rows = checkpointed(rows.select("row", "g", "d", *clean, cells.alias("cells"), bases.alias("bases"), *[f"{x}mode{i}" for x in "gd" for i in many], *[f"{x}c_{n}" for x in "gd" for n in names], *[f"{x}{e}_n{i}" for x in "gd" for e in ("lo", "hi") for i in range(len(numbers))]))
+    v = fit_factors(rows, p, rank, passes, ridge) if p else np.zeros((0, rank))
+
+    # Only the cells pass through Python; the record stays where it is.
+    @F.pandas_udf("array<double>")
+    def fitted(given: pd.Series) -> pd.Series:
+        x = np.vstack(given.to_numpy()).astype(float) if len(given) else np.zeros((0, p))
+        m = ~np.isnan(x)
+        return pd.Series(list(_solve(v, np.where(m, x, 0.0), m.astype(float), ridge) @ v.T))
+
+    both = rows.withColumn("fit", fitted("cells")) if p else rows.withColumn("fit", F.col("cells"))
 
     place = {n: i for i, n in enumerate(names)}
     out: dict[str, Column] = {}
@@ -187,6 +195,10 @@ def fill_from_similar(
     for i, c in enumerate(texts):
         n = f"t{i}"
         cats = categories[i]
+        if i in many:
+            out[c] = F.coalesce(F.col(n), F.col(f"gmode{i}"), F.col(f"dmode{i}"), F.lit(modes[i]))
+            scope[c] = F.when(F.col(n).isNull(), F.when(F.col(f"gmode{i}").isNotNull(), "group").when(F.col(f"dmode{i}").isNotNull(), "day").otherwise("all"))
+            continue
         if not cats:
             out[c], scope[c] = F.lit(None).cast("string"), F.when(F.col(n).isNull(), F.lit("none"))
             continue

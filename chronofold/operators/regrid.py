@@ -25,7 +25,8 @@ def regular_grid(
     """One row per source and slot from its first to its last slot with a usable reading.
 
     A slot starts at a multiple of the source's step (whole seconds since 1970-01-01 UTC). Readings with NULL source or time, or whose
-    value is NULL or NaN, are not usable; equal ``reading`` ids count once (``reading=None``: every row counts). Infinite values
+    value is NULL or NaN, are not usable; equal ``reading`` ids count once (``reading=None``: every row counts), and of readings without an id those that
+    agree in source, time and value. Infinite values
     occupy their slot but carry no weight. Sources with a NULL or non-positive step, or not listed, have no grid.
 
     Each slot's estimate is a local linear regression at the slot's centre over the readings less than ``bandwidth_slots``
@@ -44,7 +45,8 @@ def regular_grid(
     if reading is None:
         rows = good.select(*cols)
     else:
-        rows = good.groupBy(F.col(reading).alias("_r")).agg(F.min(F.struct(*cols)).alias("x")).select("x.*")
+        nameless = [F.when(F.col(reading).isNull(), F.col(c)).alias(f"_n{i}") for i, c in enumerate((source, time, value))]
+        rows = good.groupBy(F.col(reading).alias("_r"), *nameless).agg(F.min(F.struct(*cols)).alias("x")).select("x.*")
     at = rows.join(steps, "_s").withColumn("_k", F.floor(F.col("_t") / (F.col("_step") * 1_000_000)))
     reach = bandwidth_slots
     sent = at.withColumn("_to", F.explode(F.sequence(F.col("_k") - reach, F.col("_k") + reach)))

@@ -203,6 +203,17 @@ def test_filling_scopes_and_edges(spark):
     assert nothing["fit"] is None and nothing["cells"] is None
 
 
+def test_text_with_many_values_takes_the_groups_mode(spark, monkeypatch):
+    monkeypatch.setattr(lowrank, "MOST_CATEGORIES", 3)
+    rows = [(i, "g", at(0), f"name {i % 5}", float(i)) for i in range(10)] + [(20, "g", at(0), "name 2", 1.0), (21, "g", at(0), None, None), (22, "other", at(0), "?", 2.0), (23, None, at(9e6), None, 3.0)]
+    df = spark.createDataFrame(rows, "id long, grp string, snap_time timestamp, who string, n double").withColumn("loaded_at", F.lit(None).cast("timestamp"))
+    got = {r["id"]: r for r in lowrank.fill_from_similar(df, "grp", "snap_time", ["n"], ["who"], "loaded_at", ["id"]).collect()}
+    assert got[21]["who"] == "name 2" and got[21]["filled"]["who"] == "group" and got[21]["filled"]["n"] == "group"
+    assert got[22]["who"] == "name 2" and got[22]["filled"] == {"who": "day"} and got[23]["filled"] == {"who": "all"}
+    only = lowrank.fill_from_similar(df.drop("n"), "grp", "snap_time", [], ["who"], "loaded_at", ["id"]).collect()
+    assert len(only) == 14 and all(r["who"] for r in only)
+
+
 # --- implausible readings
 
 
@@ -286,6 +297,13 @@ def test_forest_scores_outliers_high():
 # --- regular grid
 
 
+def test_readings_without_an_id_stay_apart(spark):
+    rows = [(None, 1, at(30), 1.0), (None, 1, at(90), 2.0), (None, 1, at(90), 2.0), (None, 2, at(30), 3.0), (7, 1, at(150), 4.0)]
+    df = spark.createDataFrame(rows, "reading_id long, id long, time timestamp, value double")
+    got = {(r["id"], r["slot_epoch"]): r["n_readings"] for r in regrid.regular_grid(df, spark.createDataFrame([(1, 60), (2, 60)], "id long, step_s int")).collect()}
+    assert got == {(1, 0): 1, (1, 60): 1, (1, 120): 1, (2, 0): 1}
+
+
 def test_grid_slots_and_estimates(spark):
     rows = [(i, 1, at(60 * i + 30), 2.0 * i, "q") for i in range(10) if i not in (4, 5)] + [(100, 1, at(60 * 30 + 1), 7.0, "q"), (101, 1, None, 1.0, "q"), (102, 1, at(60 * 20), float("nan"), "q"), (103, None, at(1), 1.0, "q"), (104, 5, at(1), 1.0, "q"), (105, 2, at(-61), 3.0, "q")]
     df = spark.createDataFrame(rows + rows[:5], "reading_id long, id long, time timestamp, value double, support string")
