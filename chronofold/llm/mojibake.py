@@ -206,8 +206,8 @@ _CONTROL = re.compile("[\x80-\x9f\ufffd]")
 
 
 def _form(word: str) -> str:
-    """Words in capitals are judged in small letters: capitals are too rare for counts of their own."""
-    return word.lower() if len(word) > 1 and word.isupper() else word
+    """Words in capitals (three letters or more) are judged in small letters: capitals are too rare for counts of their own."""
+    return word.lower() if len(word) > 2 and word.isupper() and sum(map(str.isalpha, word)) > 2 else word
 
 
 def add_bigrams(found: dict[str, int], counts: np.ndarray, singles: np.ndarray) -> None:
@@ -501,20 +501,28 @@ class Reader:
             gain += float(scores[1::2].sum() - scores[::2].sum())
         return gain
 
-    def restored(self, word: str, chain: str) -> str:
-        """A word of a line that the chain restores."""
-        if chain == ANY_UTF8:
-            return max(((g, r) for r, (g, c) in self.seen[word][1].items() if g > 0 and c.endswith(">utf-8 ")), default=(0.0, word))[1]
+    def restored(self, word: str, chain: str, steps: list[str]) -> str:
+        """A word of a line that the chain restores; of a line that was UTF-8, by the line's own steps where they lead, else by what is best for the word."""
         plain = read_references(word)
-        r = take_chain(plain, chain.split())
-        return word if r is None or r == plain or not self.model.known.issuperset(r) else r
-
-    def steps(self, found: list[str], chain: str) -> str:
-        """The steps of a line's chain; for UTF-8, those that explain most words."""
+        r = take_chain(plain, steps)
+        good = r is not None and r != plain and self.model.known.issuperset(r)
+        if chain != ANY_UTF8:
+            return r if good else word
+        gains = self.seen[word][1]
+        if good and gains.get(r, (0.0,))[0] > 0:
+            return r
+        return max(((g, r) for r, (g, c) in gains.items() if g > 0 and c.endswith(">utf-8 ")), default=(0.0, word))[1]
+
+    def steps(self, found: list[str], chain: str) -> list[str]:
+        """The steps of a line's chain; for UTF-8, those that gain most over its words: one page read all of a line."""
         if chain != ANY_UTF8:
-            return chain.strip()
-        votes = Counter(c for w in found for _, c in [max(((g, c) for g, c in self.seen[w][1].values() if g > 0 and c.endswith(">utf-8 ")), default=(0.0, ""))] if c)
-        return votes.most_common(1)[0][0].strip()
+            return chain.split()
+        live = [w for w in found if self.seen[w][0] > 0]
+        totals: dict[str, float] = {}
+        for c in {c for w in live for g, c in self.seen[w][1].values() if g > 0 and c.endswith(">utf-8 ")}:
+            readings = [(w, take_chain(read_references(w), c.split())) for w in live]
+            totals[c] = sum(max(self.seen[w][1].get(r, (0.0,))[0], 0.0) for w, r in readings)
+        return max(totals, key=lambda c: (totals[c], -len(c), c)).split()
 
     def read(self, text: str | None) -> tuple[bool, bool, float, str, str | None]:
         """(found, found by rule, gain, chain, restored) of one text whose words have been learned.
@@ -530,11 +538,12 @@ class Reader:
             # No chain can gain more than all words together at their best.
             if sum(self.seen[w][0] for w in found) >= self.margin:
                 gain, chain = self.line(found)
+                steps = self.steps(found, chain) if chain and (gain > best[0] or gain >= self.margin) else []
                 if gain > best[0]:
-                    best = (gain, self.steps(found, chain))
+                    best = (gain, " ".join(steps))
                 if gain >= self.margin:
-                    changed = True
-                    line = re.sub(r"[^ \t\r]+", lambda m: self.restored(m[0], chain) if m[0] in self.seen else m[0], line)
+                    changed, mine = True, set(found)
+                    line = re.sub(r"[^ \t\r]+", lambda m: self.restored(m[0], chain, steps) if m[0] in mine else m[0], line)
             lines.append(line)
         return lost or best[0] >= self.margin, lost, best[0], best[1], "\n".join(lines) if changed else text
 
