@@ -294,6 +294,35 @@ def test_forest_scores_outliers_high():
     assert np.isfinite(spikes.IsolationForest(x[:1], 1).score(x[:3])).all()
 
 
+@pytest.mark.parametrize("rows_of_a_task", [None, 700])
+def test_every_run_of_a_source_grows_its_forest(spark, monkeypatch, rows_of_a_task):
+    # One reading in 3,000 differs, in one feature and by little: only a forest grown on it can tell it from the others.
+    n, rare = 3000, {s: 3000 * s + 411 * s + 7 for s in range(6)}
+    rows = [(n * s + i, s, True, 0.0, 0.0, 3.0 if n * s + i == rare[s] else 0.0, 0.0, n, n) for s in rare for i in range(n)]
+    df = spark.createDataFrame(rows, "_r long, _s long, _starts boolean, f_level double, f_difference double, f_season double, f_run double, _n long, _g long")
+    if rows_of_a_task:
+        monkeypatch.setattr(spikes, "SLICE", rows_of_a_task)
+    got = {r["_r"]: (r["_s"], r["score"]) for r in spikes.forest_scores(df).collect()}
+    assert len(got) == n * len(rare)
+    for s, r in rare.items():
+        others = {score for of, score in got.values() if of == s} - {got[r][1]}
+        assert len(others) == 1 and got[r][1] > others.pop()
+
+
+def test_the_usual_change_of_a_large_source_is_exact(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    v = rng.laplace(0, 1, 60_000)
+    v[30_000] += 50
+    df = spark.createDataFrame(pd.DataFrame({"reading_id": np.arange(len(v)), "id": 1, "time": pd.to_datetime(60 * np.arange(len(v)), unit="s", utc=True), "value": v}))
+    sensors = spark.createDataFrame([(1, None, None)], "id long, lo double, hi double")
+    size = spikes.reading_features(df, sensors).where("_r = 30000").first()["size"]
+    changes = np.sort(np.abs(np.diff(v)))
+    assert size == min(v[30_000] - v[29_999], v[30_000] - v[30_001]) / changes[(len(changes) + 1) // 2 - 1]
+
+
 # --- regular grid
 
 
