@@ -6,6 +6,8 @@ over the rows of each variable that give sufficient statistics; only their tail
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from chronofold.functions import tests_of_significance as tests
-from chronofold.util import checkpointed
+from chronofold.util import checkpointed, private_names
 
 FDR_LEVEL = 0.05
 
@@ -139,21 +141,34 @@ def _p_kendall(n: pd.Series, dis: pd.Series, x0: pd.Series, x1: pd.Series, x2: p
     return pd.Series([tests.kendall(q[1], int(q[0]), q[2:5], q[5:8], q[8]) for q in zip(n, dis, x0, x1, x2, y0, y1, y2, both)])
 
 
+#: Sums of 1 / i for i up to 0, 1, .., 64.
+_HARMONIC = [math.fsum(1 / i for i in range(1, m + 1)) for m in range(65)]
+
+
+def harmonic(m: Column) -> Column:
+    """The sum of 1 / i for i up to m in one step: beyond 64 by its expansion, whose next term is under 1e-20."""
+    x = m.cast("double")
+    far = F.ln(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x) - 1 / (252 * x * x * x * x * x * x)
+    return F.when(m > 64, far).otherwise(F.get(F.array(*map(F.lit, _HARMONIC)), F.least(m, F.lit(64)).cast("int")))
+
+
 def control_false_discoveries(table: DataFrame, level: float = FDR_LEVEL, independent: bool = False, p: str = "p_value", within: str | None = None) -> DataFrame:
     """Add ``relevant``: rejected by Benjamini-Hochberg (``independent``) or Benjamini-Yekutieli at ``level``. Rows without a p-value are irrelevant and not counted.
 
-    The table has a row per feature (and label): its windows are small, whatever the number of ids.
+    What is rejected is all up to a greatest p-value, one a group. Those are found on the counts of distinct p-values; the table itself is not ordered.
     """
-    keys = [within] if within else [F.lit(1)]
+    name = private_names(*table.columns)
+    group, value, least = name("_group"), name("_value"), name("_least")
+    key = F.col(within) if within else F.lit(1)
     real = F.col(p).isNotNull() & ~F.isnan(p)
-    order = Window.partitionBy(*keys, real).orderBy(p)
-    group = Window.partitionBy(*keys, real)
-    m, rank = F.count(F.lit(1)).over(group), F.row_number().over(order)
-    ranked = table.withColumn("_m", m).withColumn("_rank", rank)
-    c = F.lit(1.0) if independent else F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
-    passed = real & (F.col(p) <= F.col("_rank") * level / (F.col("_m") * c))
-    last = F.max(F.when(passed, F.col("_rank"))).over(group)
-    return ranked.withColumn("relevant", F.coalesce(real & (F.col("_rank") <= last), F.lit(False))).drop("_m", "_rank")
+    counts = table.where(real).groupBy(key.alias(group), F.col(p).alias(value)).agg(F.count(F.lit(1)).alias("t"))
+    rank, m = F.sum("t").over(Window.partitionBy(group).orderBy(value)), F.sum("t").over(Window.partitionBy(group))
+    ranked = counts.select(group, value, rank.alias("rank"), m.alias("m"))
+    c = F.lit(1.0) if independent else harmonic(F.col("m"))
+    limits = ranked.where(F.col(value) <= F.col("rank") * level / (F.col("m") * c)).groupBy(group).agg(F.max(value).alias(least))
+    # A row a group.
+    joined = table.join(F.broadcast(limits), key.eqNullSafe(F.col(group)), "left")
+    return joined.withColumn("relevant", F.coalesce(real & (F.col(p) <= F.col(least)), F.lit(False))).drop(group, least)
 
 
 def check_alignment(X: DataFrame, y: DataFrame) -> None:
@@ -214,7 +229,7 @@ def calculate_relevance_table(
         else:
             real = distance_statistics(typed("real")).select("label", "variable", _p_smirnov("d", "n1", "n2").alias("p_value"))
         binary = contingency(typed("binary")).select("label", "variable", _p_fisher("a", "b", "c", "d").alias("p_value"))
-    tested = checkpointed(control_false_discoveries(real.unionByName(binary), fdr_level, hypotheses_independent, within="label"))
+    tested = checkpointed(control_false_discoveries(checkpointed(real.unionByName(binary)), fdr_level, hypotheses_independent, within="label"))
     labels = sorted(r[0] for r in tested.select("label").distinct().collect() if r[0] is not None)
     if multiclass and n_significant > len(labels):
         raise AssertionError("n_significant must not exceed the number of classes")

@@ -1,6 +1,7 @@
 """Containers, rolling, imputation, selection, pipelines, sources and streams."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -207,6 +208,26 @@ def test_false_discoveries(spark, independent, ps, level, want):
     assert [r["relevant"] for r in relevance.control_false_discoveries(df, level, independent).orderBy("i").collect()] == want
 
 
+def test_false_discoveries_of_many_rows(spark):
+    """Groups of any size, one of them without a name, in time that grows with the rows alone."""
+    ms = [1, 2, 64, 65, 1000, 100_000]
+    sums = spark.createDataFrame([(m,) for m in ms], "m long").select("m", relevance.harmonic(F.col("m")).alias("h")).collect()
+    for r in sums:
+        assert r["h"] == pytest.approx(math.fsum(1 / i for i in range(1, r["m"] + 1)), rel=1e-15)
+    n = 150_000
+    rows = spark.range(n).select("id", F.when(F.col("id") % 3 > 0, F.lit("a")).alias("g"), F.pow(((F.col("id") * 7919) % 100_003) / 100_003, 3).alias("p_value"))
+    start = time.monotonic()
+    got = {r["id"] for r in relevance.control_false_discoveries(rows, 0.3, False, within="g").where("relevant").select("id").collect()}
+    assert time.monotonic() - start < 60
+    want = set()
+    for g in (0, 1):
+        ids = np.array([i for i in range(n) if (i % 3 > 0) == g])
+        p = (((ids * 7919) % 100_003) / 100_003) ** 3
+        order = np.sort(p)
+        ok = order <= np.arange(1, len(p) + 1) * 0.3 / (len(p) * np.sum(1 / np.arange(1.0, len(p) + 1)))
+        want |= set(ids[p <= order[ok].max()].tolist())
+    assert 0 < len(want) < n and got == want
+
 # --- pipelines
 
 
