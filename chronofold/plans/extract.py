@@ -6,10 +6,11 @@ from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.functions import naming, settings
+from chronofold.functions import blocks, naming, settings
 from chronofold.functions.kernels import KERNELS
 from chronofold.functions.native import KEYS, NATIVE, Build
 from chronofold.plans.container import Container, kinds_of, to_long
@@ -54,46 +55,67 @@ def _call(calc: str | Callable, x: np.ndarray, index: object, sets: list[dict |
     return [float(calc(given, **(p or {}))) for p in sets]
 
 
-def _kernel_column(series: Column, kind: Column, times: Column | None, calls: dict[str | Callable, list[tuple[dict | None, set[str] | None]]]) -> Column:
-    """All kernels of all series in one Arrow function: an array of results, NULL where a kind does not ask for it."""
+def _kernel_column(series: Column, kind: Column, times: Column | None, calls: dict[str | Callable, list[tuple[int, dict | None, set[str] | None]]], matrices: bool) -> Column:
+    """All calls of all series in one Arrow function: an array of results, NULL where a kind does not ask for it. A call is a place in the array, a parameter set and the kinds that ask for it.
 
-    def run(arrays: pd.Series, kinds: pd.Series, stamps: pd.Series | None = None) -> pd.Series:
-        plans: dict[str, list[tuple[str | Callable, list[int], list[dict | None]]]] = {}
-        size = sum(map(len, calls.values()))
-        out = []
-        for i, (a, k) in enumerate(zip(arrays, kinds)):
+    With ``matrices`` the series of one length in a batch are one matrix (their values must be finite).
+    """
+    size = sum(map(len, calls.values()))
+    special = any(wanted is not None for sets in calls.values() for *_, wanted in sets)
+
+    def run(arrays: pa.Array, kinds: pa.Array, stamps: pa.Array | None = None) -> pa.Array:
+        plans: dict[str | None, list[tuple[str | Callable, list[int], list[dict | None]]]] = {}
+        groups: dict[tuple[str | None, int], list[int]] = {}
+        lengths = arrays.value_lengths().to_numpy()
+        starts = np.cumsum(lengths) - lengths
+        flat = arrays.flatten().to_numpy(zero_copy_only=False)
+        for i, (k, n) in enumerate(zip(kinds.to_pylist() if special else [None] * len(arrays), lengths.tolist())):
+            groups.setdefault((k, n), []).append(i)
+        out = np.full((len(arrays), size), np.nan)
+        for (k, n), members in groups.items():
             if k not in plans:
-                plans[k], at = [], 0
+                plans[k] = []
                 for calc, sets in calls.items():
-                    here = [j for j, (_, wanted) in enumerate(sets) if wanted is None or k in wanted]
-                    if here:
-                        plans[k].append((calc, [at + j for j in here], [sets[j][0] for j in here]))
-                    at += len(sets)
-            x = np.asarray(a, float)
-            index = None if stamps is None else pd.to_datetime(np.asarray(stamps[i]), unit="us", utc=True)
-            row: list[float | None] = [None] * size
-            for calc, places, sets in plans[k]:
-                with np.errstate(all="ignore"):
-                    for j, g in zip(places, _call(calc, x, index, sets)):
-                        row[j] = None if g is None or g != g else float(g)
-            out.append(row)
-        return pd.Series(out)
+                    if here := [(place, p) for place, p, wanted in sets if wanted is None or k in wanted]:
+                        plans[k].append((calc, [place for place, _ in here], [p for _, p in here]))
+            at = np.array(members)
+            x = flat[starts[at][:, None] + np.arange(n)]
+            if matrices and n:
+                for part, b in blocks.blocks_of(x):
+                    for calc, places, sets in plans[k]:
+                        if isinstance(calc, str):
+                            out[at[part][:, None], places] = blocks.values(calc, b, sets)
+            with np.errstate(all="ignore"):
+                for calc, places, sets in plans[k]:
+                    if isinstance(calc, str) and matrices and n:
+                        continue
+                    for i, row in zip(members, x):
+                        index = None if stamps is None else pd.to_datetime(stamps[i].values.to_numpy(zero_copy_only=False), unit="us", utc=True)
+                        out[i, places] = [np.nan if v is None else v for v in _call(calc, row, index, sets)]
+        results = out.ravel()
+        return pa.ListArray.from_arrays(np.arange(len(arrays) + 1, dtype=np.int32) * size, pa.array(results, mask=np.isnan(results)))
 
     if times is None:
 
-        @F.pandas_udf("array<double>")
-        def kernels(arrays: pd.Series, kinds: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<double>")
+        def kernels(arrays: pa.Array, kinds: pa.Array) -> pa.Array:
             return run(arrays, kinds)
 
         return kernels(series, kind)
 
-    @F.pandas_udf("array<double>")
-    def timed_kernels(arrays: pd.Series, kinds: pd.Series, stamps: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def timed_kernels(arrays: pa.Array, kinds: pa.Array, stamps: pa.Array) -> pa.Array:
         return run(arrays, kinds, stamps)
 
     return timed_kernels(series, kind, times)
 
 
+def _finite(long: DataFrame) -> bool:
+    """One pass over the values: are all of them finite numbers?"""
+    v = F.col("_v")
+    return not long.isStreaming and not long.agg(F.count_if(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))).collect()[0][0]
+
+
 def _merged(default: Settings | None, per_kind: Mapping[str, Settings], timed: bool) -> tuple[list[Request], dict[str | None, list[int]]]:
     """All requests of all kinds, each once, and per kind the places of its own, in its settings' order; None stands for any other kind."""
     place: dict[tuple, int] = {}
@@ -113,12 +135,16 @@ def _merged(default: Settings | None, per_kind: Mapping[str, Settings], timed: b
 
 
 def value_frame(long: DataFrame, requests: list[Request], own: Mapping[str | None, list[int]] | None = None) -> DataFrame:
-    """(_id, _kind, values): one array per series with the requested features in order. Kernels run for the kinds that ask for them (``own``)."""
+    """(_id, _kind, values): one array per series with the requested features in order. Kernels run for the kinds that ask for them (``own``).
+
+    If there are kernels, a series travels to them as an array; then what else can be had from finite values there is not built by Spark a second time.
+    """
     build = Build()
+    matrices = any(isinstance(calc, str) and calc in KERNELS for calc, *_ in requests) and _finite(long)
     native: dict[int, Column] = {}
     calls: dict[str | Callable, list[tuple[int, dict | None]]] = {}
     for i, (calc, _, params) in enumerate(requests):
-        if isinstance(calc, str) and calc in NATIVE:
+        if isinstance(calc, str) and calc in NATIVE and not (matrices and calc in blocks.BLOCKS):
             native[i] = NATIVE[calc](build, **(params or {}))
         else:
             calls.setdefault(calc, []).append((i, params))
@@ -139,7 +165,7 @@ def value_frame(long: DataFrame, requests: list[Request], own: Mapping[str | Non
         build.n()
     groups = rows.groupBy(*KEYS).agg(*[c.alias(n) for n, c in build.aggs.items()])
     order = list(native)
-    values = F.array(*native.values()).cast("array<double>")
+    values = F.array(*native.values()).cast("array<double>") if native else None
     if calls:
         # A kind without settings of its own takes the default's; so only kinds with their own are told apart.
         special = {k for k in (own or {}) if k is not None}
@@ -150,9 +176,12 @@ def value_frame(long: DataFrame, requests: list[Request], own: Mapping[str | Non
             # The default's own requests are asked for by every other kind: those are masked below, not skipped.
             default = set(own[None])
             wanted = {c: [(p, None if i in default else asks[i]) for i, p in sets] for c, sets in calls.items()}
-        groups = groups.withColumn("_kernels", _kernel_column(F.col("series"), F.col("_kind"), times, wanted))
-        values = F.concat(values, F.col("_kernels"))
-        order += [i for sets in calls.values() for i, _ in sets]
+        # Without Spark's expressions the calls' places are those of the requests; else they follow them.
+        places = {i: k if native else i for k, i in enumerate(i for sets in calls.values() for i, _ in sets)}
+        placed = {c: [(places[i], p, asked) for (i, _), (p, asked) in zip(calls[c], sets)] for c, sets in wanted.items()}
+        groups = groups.withColumn("_kernels", _kernel_column(F.col("series"), F.col("_kind"), times, placed, matrices))
+        values = F.concat(values, F.col("_kernels")) if native else F.col("_kernels")
+        order += sorted(places, key=places.get)
     if order != list(range(len(requests))):
         back = {i: k for k, i in enumerate(order)}
         # One literal instead of a column per feature.
